@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from vektrail.llm.clusters import p4_clusters, p4_found
 from vektrail.llm.neighbors import p3_found
 
 QUERIES = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
 }
 
 ORACLES: dict[str, str] = {}
