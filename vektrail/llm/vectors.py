@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektrail.session import table
+from vektrail.session import staged, table
 
 DIM = 64
 MIN_COS = 0.86
@@ -30,6 +30,7 @@ LEAF_ROWS = 6_000
 SAMPLE_ROWS = 20_000  # rows the tree is fitted on, at most about this many
 DIRECTIONS = 16
 MISS = 0.1
+SMALL_ROWS = 200_000  # rows of three numbers that may be broadcast
 ROUTED = "leaf int, part int, role int, h binary, vec binary"
 
 
@@ -50,6 +51,9 @@ def current_documents(docs: DataFrame) -> DataFrame:
     stamp = F.struct("written_utc", F.xxhash64("embedding").alias("x"))
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "embedding", "written_utc")
     many = docs.groupBy("doc_id").agg(F.max(stamp).alias("top"), F.count("*").alias("n")).where("n > 1").select("doc_id", "top")
+    many = staged(many, "replaced")
+    if many.count() <= SMALL_ROWS:  # else the join shuffles both sides
+        many = F.broadcast(many)
     kept = docs.withColumn("_s", stamp).join(many, "doc_id", "left").where(F.col("top").isNull() | (F.col("_s") == F.col("top")) | (F.col("_s.written_utc").isNull() & F.col("top.written_utc").isNull() & (F.col("_s.x") == F.col("top.x"))))
     return kept.select(F.col("doc_id").cast("string").alias("id"), F.col("embedding").alias("raw"))
 
@@ -81,6 +85,8 @@ def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def unit(rows: np.ndarray) -> np.ndarray:
     wide = rows.astype("f8")
+    if not len(wide):
+        return rows
     wide /= np.abs(wide).max(1, keepdims=True)  # lengths near the ends of the float range
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype("f4")
 
@@ -116,6 +122,12 @@ def stop_at(j: int, miss: float) -> float:
     return lo
 
 
+def directions(seed: int = 7) -> np.ndarray:
+    """Orthonormal Gaussian directions, scaled so that a unit difference has variance 1 in each."""
+    rng = np.random.default_rng(seed)
+    return (np.linalg.qr(rng.standard_normal((DIM, DIM)))[0][:, :DIRECTIONS] * math.sqrt(DIM)).astype("f4")
+
+
 @dataclass(frozen=True)
 class Tree:
     """Projection and leaf boxes; its size is DIM * DIRECTIONS + 2 * leaves * DIRECTIONS numbers."""
@@ -126,10 +138,7 @@ class Tree:
     limit: np.ndarray  # by number of violated cuts
 
     @classmethod
-    def fit(cls, sample: np.ndarray, leaves: int, radius2: float, miss: float, seed: int = 7) -> Tree:
-        rng = np.random.default_rng(seed)
-        base = np.linalg.qr(rng.standard_normal((DIM, DIM)))[0][:, :DIRECTIONS] * math.sqrt(DIM)
-        points = sample.astype("f8") @ base
+    def fit(cls, points: np.ndarray, leaves: int, radius2: float, miss: float) -> Tree:
         boxes = [(np.full(DIRECTIONS, -np.inf), np.full(DIRECTIONS, np.inf), points)]
         while len(boxes) < leaves:
             halves = []
@@ -142,7 +151,7 @@ class Tree:
                 halves += [(low, down, inside[below]), (up, high, inside[~below])]
             boxes = halves
         limit = np.array([0.0] + [stop_at(j, miss) for j in range(1, DIRECTIONS + 1)]) * radius2
-        return cls(base.astype("f4"), np.stack([b[0] for b in boxes]).astype("f4"), np.stack([b[1] for b in boxes]).astype("f4"), limit.astype("f4"))
+        return cls(directions(), np.stack([b[0] for b in boxes]).astype("f4"), np.stack([b[1] for b in boxes]).astype("f4"), limit.astype("f4"))
 
     def visits(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Own leaf of each row, then (row, leaf) of the other leaves it visits.
@@ -178,10 +187,10 @@ def fit_tree(source: Table, radius2: float, miss: float = MISS, leaf_rows: int =
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, rows = usable(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in unit(rows)], pa.binary())], ["vec"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in unit(rows) @ directions()], pa.binary())], ["y"])
 
-    got = picked.mapInArrow(take, "vec binary").toArrow().column(0).to_pylist() if leaves > 1 else []
-    sample = np.frombuffer(b"".join(got), "<f4").reshape(-1, DIM)
+    got = picked.mapInArrow(take, "y binary").toArrow().column(0).to_pylist() if leaves > 1 else []
+    sample = np.frombuffer(b"".join(got), "<f4").reshape(-1, DIRECTIONS)
     return Tree.fit(sample, leaves, radius2, miss)
 
 
