@@ -37,7 +37,7 @@ class TopKernel(LeafKernel):
 
     def inside(self) -> None:
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # own row, key of the other, cosine
-        for lo in range(0, len(self.own), self.BLOCK):
+        for lo in range(0, len(self.own) if self.first else 0, self.BLOCK):
             i, j, cos = self.pairs(self.own[lo : lo + self.BLOCK], self.own)
             i += lo
             apart = i != j
@@ -86,11 +86,14 @@ class TopKernel(LeafKernel):
 
 
 def links(source: Table, k: int = K, miss: float = MISS) -> DataFrame:
-    """(q, n, cos, place): the k nearest other contents of each content, by key."""
+    """(q, n, cos, place): the k nearest other contents of each content, by key.
+
+    No pair comes twice: a content lies in one leaf and visits another one once.
+    """
     tree = fit_tree(source, 2 - 2 * MIN_COS, miss)
     seen = visit_leaves(source, tree, TopKernel, LINKS).where(F.col("cos") >= MIN_COS)
     w = W.partitionBy("q").orderBy(F.desc("cos"), "n")
-    return seen.dropDuplicates(["q", "n"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def similar_pairs(source: Table, k: int = K, miss: float = MISS) -> DataFrame:

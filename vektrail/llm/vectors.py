@@ -2,8 +2,8 @@
 
 Unit vectors are projected on a few orthonormal Gaussian directions (Gaussian laws
 are 2-stable, so a projected difference has variance d^2 per direction). A kd-tree
-over a bounded sample of projections cuts the space into leaves of about
-``LEAF_ROWS`` rows; every row is put into exactly one leaf. A row also visits those
+over a bounded sample of projections cuts the space into leaves of up to
+about ``LEAF_ROWS`` rows; every row is put into exactly one leaf. A row also visits those
 other leaves that could hold a neighbour within the radius, nearest leaf first: the
 visit ends where the chi-square test says that a neighbour at the radius lies that
 far out in the violated directions with a probability under ``miss``.
@@ -26,7 +26,7 @@ from vektrail.session import staged, table
 
 DIM = 64
 MIN_COS = 0.86
-LEAF_ROWS = 6_000
+LEAF_ROWS = 16_000
 SAMPLE_ROWS = 20_000  # rows the tree is fitted on, at most about this many
 DIRECTIONS = 16
 MISS = 0.1
@@ -206,7 +206,7 @@ def members(source: Table) -> DataFrame:
     return source.rows.select("id", "raw").mapInArrow(keys, "h binary, id string").distinct()
 
 
-def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int], LeafKernel], schema: str, spread: int = 1) -> DataFrame:
+def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int, int], LeafKernel], schema: str, spread: int = 1) -> DataFrame:
     """Route every vector to its leaf and to the leaves it visits, and run a kernel per leaf.
 
     Identical vectors are merged on the map side and again as they arrive, sorted, in
@@ -260,7 +260,7 @@ def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int], LeafKernel],
                 if current != (leaf[lo], part[lo]):
                     if state is not None:
                         yield from state.end()
-                    current, state, last = (leaf[lo], part[lo]), kernel(int(leaf[lo])), None
+                    current, state, last = (leaf[lo], part[lo]), kernel(int(leaf[lo]), int(part[lo])), None
                 keep = np.ones(hi - lo, dtype=bool)
                 for i in range(lo, hi):
                     now = (int(role[i]), keys[i])
@@ -282,8 +282,9 @@ class LeafKernel:
 
     BLOCK = 512
 
-    def __init__(self, leaf: int):
+    def __init__(self, leaf: int, part: int):
         self.leaf = leaf
+        self.first = part == 0  # the part that reports the pairs among the leaf's own rows
         self.keys: list[np.ndarray] = []
         self.vecs: list[np.ndarray] = []
         self.ready = False
