@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+FLOATS = T.ArrayType(T.FloatType())  # types as objects: workers import this module without a session
 FLOOR = 1e-12  # least norm a vector is divided by, so that a zero vector stays zero
 
 
@@ -17,6 +19,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, not once per element of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product over the common length; a null element makes it null."""
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -28,8 +35,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; the zero vector stays zero and an empty one empty."""
-    size = F.greatest(norm(v), F.lit(FLOOR))
-    return F.transform(doubles(v), lambda x: x / size)
+    v = doubles(v)
+    return let(v, lambda w: let(F.greatest(norm(w), F.lit(FLOOR)), lambda size: F.transform(w, lambda x: x / size)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,9 +56,12 @@ def truncate(v: Column, dim: int) -> Column:
 
 def quantize_int8(v: Column) -> Column:
     """Symmetric per-vector 8-bit codes, given back as numbers; zero vectors stay zero."""
-    v = doubles(v)
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    return F.when(top > 0, F.transform(v, lambda x: F.rint(x / top * 127.0) / 127.0 * top)).otherwise(v)
+
+    def coded(w: Column) -> Column:
+        top = F.array_max(F.transform(w, lambda x: F.abs(x)))
+        return let(top, lambda t: F.when(t > 0, F.transform(w, lambda x: F.rint(x / t * 127.0) / 127.0 * t)).otherwise(w))
+
+    return let(doubles(v), coded)
 
 
 def quantize_binary(v: Column) -> Column:
@@ -59,7 +69,7 @@ def quantize_binary(v: Column) -> Column:
     return F.transform(doubles(v), lambda x: F.when(x >= 0, 1.0).otherwise(-1.0))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(FLOATS)
 def quantize_float16(v: pd.Series) -> pd.Series:
     """Rounded to half precision; Spark has no such type, hence Arrow."""
     return v.map(lambda x: None if x is None else np.asarray(x, "f4").astype("f2").astype("f4"))
@@ -92,13 +102,13 @@ def from_literal(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(FLOATS)
 def from_blob(b: pd.Series) -> pd.Series:
     """Vector of a blob; a length that is no multiple of four gives null."""
     return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
