@@ -11,7 +11,7 @@ from vektrail.functions import vec
 from vektrail.operators import adapters, exposure, groundtruth, knn, metrics
 from vektrail.plans.fixtures import DIM, IS_QUERY, SPACES, new, old, search_sql, shear
 
-IS_FIT = F.col("id") % 5 != 0
+IS_FIT = "id % 5 <> 0"
 
 
 def pairs(source, target):
