@@ -19,9 +19,12 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, not once per element of a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def with_each(v: Column, value: Column, body) -> Column:
+    """``body(x, value)`` for each element x; ``value`` is computed once per row, not once per element.
+
+    No lambda is nested in another one: Python UDFs over nested lambdas are not planned.
+    """
+    return F.zip_with(v, F.array_repeat(value, F.size(v)), body)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,7 +39,7 @@ def norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit vector; the zero vector stays zero and an empty one empty."""
     v = doubles(v)
-    return let(v, lambda w: let(F.greatest(norm(w), F.lit(FLOOR)), lambda size: F.transform(w, lambda x: x / size)))
+    return with_each(v, F.greatest(norm(v), F.lit(FLOOR)), lambda x, size: x / size)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -56,12 +59,9 @@ def truncate(v: Column, dim: int) -> Column:
 
 def quantize_int8(v: Column) -> Column:
     """Symmetric per-vector 8-bit codes, given back as numbers; zero vectors stay zero."""
-
-    def coded(w: Column) -> Column:
-        top = F.array_max(F.transform(w, lambda x: F.abs(x)))
-        return let(top, lambda t: F.when(t > 0, F.transform(w, lambda x: F.rint(x / t * 127.0) / 127.0 * t)).otherwise(w))
-
-    return let(doubles(v), coded)
+    v = doubles(v)
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return with_each(v, top, lambda x, t: F.when(t > 0, F.rint(x / t * 127.0) / 127.0 * t).otherwise(x))
 
 
 def quantize_binary(v: Column) -> Column:

@@ -22,8 +22,9 @@ def rotated(v: Column) -> Column:
 
 def sheared(v: Column) -> Column:
     """Unit vector of y[i] = round(x[i] + 0.35 * x[(7 i + 3) mod 64], 6)."""
-    mixed = vec.let(vec.doubles(v), lambda w: F.transform(w, lambda x, i: F.round(x + 0.35 * F.get(w, (i * 7 + 3) % DIM), 6)))
-    return vec.l2_normalize(mixed)
+    v = vec.doubles(v)
+    other = F.array(*[F.get(v, F.lit((i * 7 + 3) % DIM)) for i in range(DIM)])
+    return vec.l2_normalize(F.zip_with(v, other, lambda x, y: F.round(x + 0.35 * y, 6)))
 
 
 def old(spark: SparkSession, sf: str) -> DataFrame:
