@@ -156,7 +156,7 @@ _MEAN = "SELECT o.query_id, avg({0}) FROM o"
 ORACLES = {
     "gt_tier0": f"{_BOTH} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM o",
     "gt_tier0_sparse": f"{_BOTH} SELECT query_id, doc_id, 1 AS grade FROM o WHERE rank = 0",
-    "gt_tier1": f"{_BOTH} SELECT query_id, count(*) AS relevant, sum(grade) AS grades FROM qrels WHERE doc_id % 3 <> 0 GROUP BY query_id",
+    "gt_tier1": f"{_BOTH} SELECT query_id, count(*) AS relevant, sum(grade)::BIGINT AS grades FROM qrels WHERE doc_id % 3 <> 0 GROUP BY query_id",
     "gt_tier1_unjudged": f"WITH {SPACES}, {search_sql('r', '(SELECT * FROM shear WHERE id % 10 = 1)', 'new', 5)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r",
     "gt_tier2": f"WITH {SPACES}, {search_sql('r', '(SELECT id + 1000000 AS id, v FROM new WHERE id % 10 = 3)', 'new', 3)} SELECT query_id, doc_id, rank, CASE WHEN query_id = doc_id + 1000000 THEN 1 ELSE 0 END AS grade FROM r",
     "gt_query_clusters": f"{_BOTH} SELECT o.query_id AS query_id, d.label AS cluster FROM o JOIN old d ON d.id = o.doc_id WHERE o.rank = 0",

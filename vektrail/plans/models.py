@@ -103,7 +103,7 @@ def exp_alignment(s, d):
 QUERIES = {f.__name__: f for f in (flagship_bridge_recall, fit_apply_rotation, fit_geometry, fit_candidates, fit_select_best, fit_residual_mlp, fit_csls_bias, fit_calibrator, fit_refit_gain, exp_identification, exp_alignment)}
 
 ORACLES = {
-    "flagship_bridge_recall": f"WITH {SPACES} SELECT id AS query_id, 1.0 AS recall, 1.0 AS ndcg, 1.0 AS rr FROM old WHERE id % 5 = 0",
+    "flagship_bridge_recall": f"WITH {SPACES} SELECT id AS query_id, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS ndcg, 1.0::DOUBLE AS rr FROM old WHERE id % 5 = 0",
     "fit_apply_rotation": f"WITH {SPACES} SELECT id, unnest(range(64)) AS i, round(unnest(v), 6) AS x FROM old",
     "fit_geometry": f"""WITH {SPACES}, p AS (SELECT list_dot_product(a.v, b.v) - list_dot_product(x.v, y.v) AS g
 FROM shear a JOIN shear b ON a.id <> b.id JOIN old x ON x.id = a.id JOIN old y ON y.id = b.id)

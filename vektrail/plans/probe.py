@@ -86,7 +86,7 @@ _IN = """i AS (SELECT vec_id AS id, round((vec_id % 7) * 0.05::DOUBLE + 0.66::DO
   CASE WHEN vec_id % 13 <> 0 THEN round((floor(vec_id / 7) % 7) * 0.03::DOUBLE + 0.98::DOUBLE, 4) END AS gain,
   CASE WHEN vec_id % 5 = 0 THEN round((floor(vec_id / 3) % 7) * 0.05::DOUBLE + 0.7::DOUBLE, 4) END AS old_arr FROM embeddings)"""
 ORACLES = {
-    "probe_rotation": "SELECT 'procrustes_centered' AS name, 1.0 AS arr, 1.0 AS gain, 'no_upgrade_needed' AS decision",
+    "probe_rotation": "SELECT 'procrustes_centered' AS name, 1.0::DOUBLE AS arr, 1.0::DOUBLE AS gain, 'no_upgrade_needed' AS decision",
     "dec_grid": f"""WITH {_IN}, f AS (SELECT *, coalesce(gain < 1.02, FALSE) AS flat, coalesce(old_arr - arr > 0.025, FALSE) AS loses, arr * gain AS adv FROM i)
 SELECT id, CASE WHEN flat THEN 'no_upgrade_needed' WHEN loses THEN CASE WHEN gain >= 1.02 THEN 'full_reindex' ELSE 'no_upgrade_needed' END
   WHEN adv > 1.025 THEN CASE WHEN arr >= 0.95 THEN 'bridge_sufficient' ELSE 'bridge_and_migrate' END

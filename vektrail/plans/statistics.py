@@ -63,6 +63,6 @@ ORACLES = {
     "stat_randomisation": f"WITH {_VALUES}, o AS (SELECT avg(a - b) AS x FROM v), m AS (SELECT t.b AS draw, avg((v.a - v.b) * (1 - 2 * (('0x' || substr(md5('2|' || t.b || '|' || id), 1, 8))::BIGINT % 2))) AS x FROM v, range(200) t(b) GROUP BY t.b) SELECT round((SELECT x FROM o), 6) AS observed, round((count(*) FILTER (abs(m.x) >= abs((SELECT x FROM o)) - 1e-12) + 1) / 201, 6) AS p FROM m",
     "stat_selection": f"WITH {_VALUES}, o AS (SELECT avg(a) AS x, count(*) AS n FROM v WHERE s), r AS (SELECT t.b AS draw, a, row_number() OVER (PARTITION BY t.b ORDER BY md5('4|' || t.b || '|' || id), id) AS rn FROM v, range(200) t(b)), m AS (SELECT draw, avg(a) AS x FROM r WHERE rn <= (SELECT n FROM o) GROUP BY draw) SELECT round((SELECT x FROM o), 6) AS observed, round((count(*) FILTER (m.x >= (SELECT x FROM o) - 1e-12) + 1) / 201, 6) AS p FROM m",
     "stat_dedupe": "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type",
-    "met_reindex_cost": "SELECT count(*) AS rows, round(count(*) * 0.0345, 1) AS seconds, round(round(count(*) * 0.0345, 1) * 90 / 3600, 6) AS watt_hours FROM documents",
+    "met_reindex_cost": "SELECT count(*) AS rows, round(count(*) * 0.0345::DOUBLE, 1) AS seconds, round(round(count(*) * 0.0345::DOUBLE, 1) * 90 / 3600, 6) AS watt_hours FROM documents",
     "scan_lineitem": "SELECT l_returnflag, l_linestatus, count(*) AS rows, round(sum(l_extendedprice), 2) AS price FROM lineitem WHERE l_quantity > 25 GROUP BY 1, 2",
 }

@@ -117,7 +117,7 @@ ORACLES = {
     "vec_pad": _long_sql("list_concat(v, list_transform(range(16), lambda x: 0.0::DOUBLE))"),
     "vec_truncate": _long_sql(f"list_transform(v[1:16], lambda x: x / {_NORM.format('v[1:16]')})"),
     "vec_quant_int8": _long_sql("list_transform(v, lambda x: round_even(x / list_max(list_transform(v, lambda y: abs(y))) * 127, 0) / 127 * list_max(list_transform(v, lambda y: abs(y))))"),
-    "vec_quant_binary": _long_sql("list_transform(v, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END)"),
+    "vec_quant_binary": _long_sql("list_transform(v, lambda x: CASE WHEN x >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"),
     "vec_literal": f"WITH {SPACES} SELECT id, '[' || array_to_string(list_transform(v[1:4], lambda x: printf('%.4f', x)), ',') || ']' AS text, round(v[4], 6) AS fourth FROM old",
     "vec_blob": f"WITH {SPACES} SELECT id, len(v) AS dim, round(v[1], 6) AS first FROM old",
     "vec_dimension": f"WITH {SPACES} SELECT count(*) AS rows, min(len(v)) AS least, max(len(v)) AS most FROM old",
