@@ -8,6 +8,7 @@ from vektrail.llm.fusion import p1_found, p1_ranking
 from vektrail.llm.mixing import p7_found, p7_mix, p7_report
 from vektrail.llm.neardup import p5_found, p5_groups
 from vektrail.llm.neighbors import p3_found
+from vektrail.llm.oracles import ORACLES
 from vektrail.llm.reading import p8_found
 
 QUERIES = {
@@ -25,4 +26,4 @@ QUERIES = {
     "p8_found": p8_found,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
