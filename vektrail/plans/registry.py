@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("feed", "vectors", "metrics", "sampling", "models", "serving", "state", "statistics", "probe")
+_MODULES = ("feed", "vectors", "metrics", "sampling", "models", "serving", "state", "statistics", "probe", "housekeeping")
 
 
 def collect() -> tuple[dict, dict]:
