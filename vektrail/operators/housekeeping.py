@@ -50,7 +50,8 @@ def removable(files: DataFrame, now: Column) -> DataFrame:
 def list_files(spark: SparkSession, root: str, classes: Mapping[str, str]) -> DataFrame:
     """(path, class, modified, length) of files under ``root``; class by sub-folder."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("modificationTime").alias("modified"), "length")
-    folder = F.regexp_extract(F.substring(F.col("path"), F.length(F.lit(root)) + 1, 4_096), r"([^/]+)/", 1)
+    base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/"
+    folder = F.regexp_extract(F.substring_index("path", base, -1), r"^([^/]+)/", 1)
     return rows.withColumn("class", F.coalesce(*[F.when(folder == k, F.lit(v)) for k, v in classes.items()], F.lit("other")))
 
 
