@@ -230,3 +230,52 @@ def test_reading_levels(spark):
     assert got == {1: "plain", 2: "expert", 3: "plain", 4: "expert", 9: "plain"}
     empty = reading.train(table, labels.where("false"))
     assert reading.levelled(table, empty).count() == 0 and reading.levelled(docs(spark, []), reading.train(table, labels)).count() == 0
+
+
+def dense_rows(n):
+    rng = np.random.default_rng(8)
+    centre = axis(0) + 0.02 * rng.standard_normal((n, DIM))
+    apart = rng.standard_normal((n, DIM))
+    return [(f"d{i:04d}", blob(v)) for i, v in enumerate(np.concatenate([centre, apart]))]
+
+
+def test_dense_cluster_over_several_leaves(spark, monkeypatch):
+    """A third and more of all rows in one tight cluster; the tree cuts it, every row still finds its neighbours."""
+    from vektrail.llm import vectors as module
+
+    rows = dense_rows(400)
+    source = vectors(spark, rows)
+    monkeypatch.setattr(module.fit_tree, "__defaults__", (module.MISS, 150, 20_000))
+    x = np.stack([np.frombuffer(b, "<f4") for _, b in rows]).astype("f8")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in range(len(x)):
+        s = x @ x[i]
+        s[i] = -2
+        for j in np.argsort(-s)[:5]:
+            if s[j] >= 0.86:
+                want.add((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+    got = {(r.id_a, r.id_b) for r in neighbors.similar_pairs(source).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+    sizes = [r["size"] for r in clusters.of_size(clusters.clusters(source)).collect()]
+    assert sizes == [400]
+
+
+def test_spread_of_a_hot_leaf_changes_nothing(spark):
+    from vektrail.llm import vectors as module
+    from vektrail.llm.neighbors import LINKS, TopKernel
+
+    source = vectors(spark, dense_rows(150))
+    tree = module.fit_tree(source, 0.28, leaf_rows=60)
+    sets = [{(bytes(r.q), bytes(r.n)) for r in module.visit_leaves(source, tree, TopKernel, LINKS, spread=s).collect()} for s in (1, 3)]
+    assert len(tree.low) == 8 and sets[0] <= sets[1]
+
+
+def test_chi_square_tail():
+    assert math.isclose(module_tail(1, 3.841458820694124), 0.05, rel_tol=1e-9) and math.isclose(module_tail(6, 12.591587243743977), 0.05, rel_tol=1e-9) and math.isclose(module_tail(7, 14.067140449340169), 0.05, rel_tol=1e-9)
+
+
+def module_tail(j, t):
+    from vektrail.llm.vectors import chi2_tail
+
+    return chi2_tail(j, t)

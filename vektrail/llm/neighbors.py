@@ -38,12 +38,24 @@ class TopKernel(LeafKernel):
     def inside(self) -> None:
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # own row, key of the other, cosine
         for lo in range(0, len(self.own) if self.first else 0, self.BLOCK):
-            i, j, cos = self.pairs(self.own[lo : lo + self.BLOCK], self.own)
-            i += lo
-            apart = i != j
-            i, j, cos = i[apart], j[apart], cos[apart]
-            top = _best(i, cos, K + self.SPARE)
-            self.keep(i[top], self.own_keys[j[top]], self.exact(self.own[i[top]], self.own[j[top]]))
+            cos = self.own[lo : lo + self.BLOCK] @ self.own.T
+            at = np.arange(len(cos))
+            cos[at, lo + at] = -2
+            i, j = self.top(cos)
+            self.keep(lo + i, self.own_keys[j], self.exact(self.own[lo + i], self.own[j]))
+
+    def top(self, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the best K + SPARE of each row, none under ``MIN_COS``; few or many qualify."""
+        k = K + self.SPARE
+        flat = np.flatnonzero(cos >= self.LEAST)
+        if len(flat) <= 4 * k * len(cos) or cos.shape[1] <= k:
+            i, j = np.divmod(flat, cos.shape[1])
+            best = _best(i, cos.ravel()[flat], k)
+            return i[best], j[best]
+        j = np.argpartition(-cos, k, axis=1)[:, :k]
+        i = np.repeat(np.arange(len(cos)), k)
+        good = cos[i, j.ravel()] >= self.LEAST
+        return i[good], j.ravel()[good]
 
     @staticmethod
     def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,15 +79,15 @@ class TopKernel(LeafKernel):
         self.build()
         for lo in range(0, len(vecs), self.BLOCK) if len(self.own) else ():
             rows = vecs[lo : lo + self.BLOCK]
-            i, j, cos = self.pairs(rows, self.own)
+            cos = rows @ self.own.T
+            i, j = self.top(cos)
             if not len(i):
                 continue
-            mine = _best(i, cos, K + self.SPARE)
-            theirs = _best(j, cos, K + self.SPARE)
-            value = self.exact(rows[i[mine]], self.own[j[mine]])
-            top = _best(i[mine], value, K)
-            yield self.batch(keys[lo + i[mine][top]], self.own_keys[j[mine][top]], value[top])
-            self.keep(j[theirs], keys[lo + i[theirs]], self.exact(rows[i[theirs]], self.own[j[theirs]]))
+            value = self.exact(rows[i], self.own[j])
+            best = _best(i, value, K)
+            yield self.batch(keys[lo + i[best]], self.own_keys[j[best]], value[best])
+            j, i = self.top(cos.T)
+            self.keep(j, keys[lo + i], self.exact(rows[i], self.own[j]))
 
     def end(self) -> Iterator[pa.RecordBatch]:
         self.build()

@@ -273,14 +273,14 @@ def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int, int], LeafKer
 
     leaves = len(tree.low) * spread
     routed = source.rows.select("raw").mapInArrow(route, ROUTED)
-    parts = max(1, min(leaves, 4_096))
+    parts = max(1, min(4 * leaves, 4_096))  # by hash: four times as many, so that few leaves share a task
     return routed.repartition(parts, "leaf", "part").sortWithinPartitions("leaf", "part", "role", "h").mapInArrow(work, schema)
 
 
 class LeafKernel:
     """Pairs of a leaf at cosine ``MIN_COS`` or more; subclasses decide what is kept of them."""
 
-    BLOCK = 512
+    BLOCK = 256
 
     def __init__(self, leaf: int, part: int):
         self.leaf = leaf
@@ -300,11 +300,11 @@ class LeafKernel:
             self.own = np.concatenate(self.vecs) if self.vecs else np.empty((0, DIM), "f4")
             self.inside()
 
-    def pairs(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cos = rows @ others.T
-        flat = np.flatnonzero(cos >= np.float32(MIN_COS - 1e-6))
-        i, j = np.divmod(flat, len(others))
-        return i, j, cos.ravel()[flat]
+    LEAST = np.float32(MIN_COS - 1e-6)
+
+    def pairs(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (row, other) at ``MIN_COS`` or more."""
+        return np.divmod(np.flatnonzero(rows @ others.T >= self.LEAST), len(others))
 
     def inside(self) -> None:
         raise NotImplementedError
