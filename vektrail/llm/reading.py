@@ -86,8 +86,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, smoo
     with two different labels is not used, and repeated rows count once.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("band").isNotNull()).groupBy("doc_id").agg(F.min("band").alias("band"), F.max("band").alias("other")).where("band = other")
+    # at most max_labels rows of two short fields, so the texts need not move
     one = one.select("doc_id", "band").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    words = docs.join(one, "doc_id").select("band", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word"))
+    words = docs.join(F.broadcast(one), "doc_id").select("band", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word"))
     counts = words.groupBy("band", "word").count().collect()
     names = tuple(sorted({r.band for r in counts}))
     total = {n: sum(r["count"] for r in counts if r.band == n) for n in names}
