@@ -16,7 +16,7 @@ def feed(spark, rows):
 
 def found(spark, rows, runs):
     got = replay(
-        feed(spark, rows).select("job_id", "record_id", "state", "attempts", "updated_utc", "batch_no"),
+        feed(spark, rows),
         spark.createDataFrame([(*r, None) for r in runs], RUNS),
         ["job_id", "record_id"], "batch_no", [instant(F.col("updated_utc")), F.col("attempts")],
         {"state": F.lower(F.trim("state")), "attempts": F.col("attempts")},

@@ -33,6 +33,26 @@ def test_rewrite_pauses_resumes_and_rolls_back(spark, sf, tmp_path):
         assert back[r.id] == r.v
 
 
+def test_refit_is_taken_only_if_it_helps(spark, sf):
+    from vektrail.operators import adapters
+    from vektrail.plans.models import pairs
+    from vektrail.streaming.rewrite import refitted
+
+    both = pairs(new(spark, sf), old(spark, sf))
+    bad = adapters.identity(adapters.Moments.of(both))
+    assert refitted(both, bad, "procrustes", least=100).kind == "procrustes" and refitted(both, bad, least=10_000) is bad
+    good = rotation()
+    assert refitted(both, good, "procrustes", least=100) is good
+
+
+def test_rewrite_calls_the_refit_hook(spark, sf, tmp_path):
+    calls = []
+    index = new(spark, sf).where("id < 40").select("id", "v")
+    job = Rewrite(spark, f"file://{tmp_path}/hook", rotation(), index, lambda a, left: calls.append(left.count()) or a, refit_every=15)
+    job.prepare(batch_size=20)
+    assert job.run().finished and len(calls) == 2 and calls[-1] == 0
+
+
 def test_bisected_isolates_a_poison_row(spark):
     def write(rows):
         if rows.where("id = 7").count():

@@ -118,14 +118,22 @@ def plan_runs(have: Intervals, runs: Sequence[tuple[int, int]], done: Intervals
     return plan
 
 
-def latest_images(feed: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """The newest image of each key (and each ``by``) as struct ``image``; nulls in ``order`` are oldest.
+def images(feed: DataFrame, keys: Sequence[str], seq: str, order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """(*keys, seq, image): only what the reader needs, so other columns may have any name.
+
+    Images compare by ``order``, nulls first, then by their values.
+    """
+    image = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[c.alias(n) for n, c in values.items()])
+    return feed.select(*keys, F.col(seq), image.alias("image"))
+
+
+def latest_images(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest image of each key.
 
     A plain ``max`` of a struct: partial aggregation on the map side, so a hot key
     costs one row per task.
     """
-    image = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[c.alias(n) for n, c in values.items()])
-    return feed.groupBy(*by, *keys).agg(F.max(image).alias("image"))
+    return rows.groupBy(*keys).agg(F.max("image").alias("image"))
 
 
 def replay(
@@ -148,7 +156,7 @@ def replay(
     plan = spark.createDataFrame(spans, "_pos int, run_no int, _lo long, _hi long")
     numbers = feed.select(seq).distinct()
     owner = numbers.join(plan, (F.col(seq) >= F.col("_lo")) & (F.col(seq) <= F.col("_hi"))).select(seq, "_pos", "run_no")
-    per_run = latest_images(feed.join(owner, seq), keys, order, values, by=["_pos", "run_no"])
+    per_run = latest_images(images(feed, keys, seq, order, values).join(owner, seq), ["_pos", "run_no", *keys])
     # at most one row per run is left of a key, whatever its number of images
     w = W.partitionBy(*keys).orderBy("_pos")
     now = F.max("image").over(w.rowsBetween(W.unboundedPreceding, 0))
@@ -200,7 +208,7 @@ class IncrementalReader:
         state = self.state()
         done = Intervals.of(map(tuple, state["intervals"]))
         gap = available(feed.where(F.col(self.seq) <= upto), self.seq).minus(done)
-        fresh = latest_images(feed.where(gap.contains(F.col(self.seq))), self.keys, self.order, self.values)
+        fresh = latest_images(images(feed.where(gap.contains(F.col(self.seq))), self.keys, self.seq, self.order, self.values), self.keys)
         if state["snap"]:
             old = self.spark.read.parquet(state["snap"]).withColumnRenamed("image", "_old")
         else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vektrail.functions import vec
 from vektrail.operators.knn import rescored, top_k
 from vektrail.operators.metrics import mean_of, ndcg_per_query
+from vektrail.session import staged
 
 RESCORED = 200
 
@@ -43,7 +44,7 @@ def grid(queries: DataFrame, docs: DataFrame, qrels: DataFrame, width: int, dims
     base = ndcg(top_k(queries, docs, k, self_mask=self_mask))
     out = []
     for dim, precision in cells(width, dims, precisions):
-        found = top_k(coarse(queries, dim, precision), coarse(docs, dim, precision), max(k, RESCORED), self_mask=self_mask)
+        found = staged(top_k(coarse(queries, dim, precision), coarse(docs, dim, precision), max(k, RESCORED), self_mask=self_mask), "cell")
         again = rescored(found, queries, docs, k)
         ratio = (lambda x: x / base) if base else (lambda x: float("nan"))
         out.append((dim, precision, ratio(ndcg(found)), ratio(ndcg(again)), storage(dim, width, precision)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektrail.operators import state
-from vektrail.operators.adapters import Adapter
+from vektrail.operators.adapters import FITS, Adapter, Moments, held_out_gain
 from vektrail.session import filesystem
 
 
@@ -58,11 +58,26 @@ def bisected(rows: DataFrame, write: Callable[[DataFrame], None], key: str = "id
             yield from bisected(rows.where(half == side), write, key, depth - 1)
 
 
+def refitted(pairs: DataFrame, current: Adapter, kind: str = "linear", least: int = 1_000, margin: float = 0.01) -> Adapter:
+    """A map fitted on four fifths of new pairs (id, src, dst), if it beats the current one on the last fifth by ``margin``.
+
+    Fewer than ``least`` pairs keep the current map.
+    """
+    if pairs.limit(least).count() < least:
+        return current
+    held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    candidate = FITS[kind](Moments.of(pairs.where(~held)))
+    gain = held_out_gain(pairs.where(held), current, candidate).first()
+    return candidate if gain.new - gain.now >= margin else current
+
+
 class Rewrite:
     """One job. ``root`` holds work/, shadow/, out/, events/, checkpoint/ and a PAUSE file while paused."""
 
-    def __init__(self, spark: SparkSession, root: str, adapter: Adapter, index: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, adapter: Adapter, index: DataFrame, refit: Callable[[Adapter, DataFrame], Adapter] | None = None, refit_every: int = 50_000):
+        """``refit`` gets the map and the ids not rewritten yet, every ``refit_every`` rows, and returns the map to go on with."""
         self.spark, self.root, self.adapter, self.index = spark, root.rstrip("/"), adapter, index
+        self.refit, self.refit_every, self.since = refit, refit_every, 0
 
     def _exists(self, name: str) -> bool:
         fs, path = filesystem(self.spark, f"{self.root}/{name}")
@@ -117,6 +132,10 @@ class Rewrite:
                 raise Stopped("stopped between two batches")
             self._batch(rows, number)
             seen["n"] += 1
+            self.since += rows.count() if self.refit else 0
+            if self.refit and self.since >= self.refit_every:
+                self.since = 0
+                self.adapter = self.refit(self.adapter, self.items().where("state = 'pending'").select("id"))
 
         query = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
         try:
