@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vektrail.functions import vec
+from vektrail.session import ship
 
 DIGITS = 9  # scores are ordered at this many decimals, so that summation order cannot swap ties
 BROADCAST_BYTES = 64 << 20  # of a query set sent to every executor; larger ones are joined block by block
@@ -28,23 +29,35 @@ def _matrix(column) -> np.ndarray:
 
 
 def _block_top(qid, q: np.ndarray, did, d: np.ndarray, bias, k: int, self_mask: bool):
-    """The k best of one block of documents for each query, ties by document id."""
+    """The k best of one block of documents for each query, ties by document id.
+
+    Products are formed in single precision; whatever could be among the k best within
+    the error of that is scored again in double precision.
+    """
     outs = ([], [], [])
+    d4 = d.astype("f4")
+    longest = float(np.linalg.norm(d, axis=1).max(initial=0.0))
+    shift = 0.0 if bias is None else float(np.abs(bias).max(initial=0.0))
     for lo in range(0, len(q), BLOCK):
-        score = q[lo : lo + BLOCK] @ d.T
-        if bias is not None:
-            score = score + bias
-        score = np.round(score, DIGITS)
+        rows = q[lo : lo + BLOCK]
+        score = rows.astype("f4") @ d4.T
+        if shift:
+            score += bias.astype("f4")
         if self_mask:
             score[np.asarray(qid[lo : lo + BLOCK])[:, None] == did[None, :]] = -np.inf
         if score.shape[1] > k:
-            floor = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-            i, j = np.nonzero((score >= floor) & (score > -np.inf))
+            error = np.finfo("f4").eps * (q.shape[1] * np.linalg.norm(rows, axis=1) * longest + shift) + 10.0**-DIGITS
+            floor = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - 2 * error
+            i, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
         else:
             i, j = np.nonzero(score > -np.inf)
+        exact = np.empty(len(i))
+        for at in range(0, len(i), 65_536):
+            part = slice(at, at + 65_536)
+            exact[part] = np.einsum("ij,ij->i", rows[i[part]], d[j[part]])
         outs[0].append(np.asarray(qid)[lo + i])
         outs[1].append(did[j])
-        outs[2].append(score[i, j])
+        outs[2].append(np.round(exact + bias[j] if shift else exact, DIGITS))
     return [np.concatenate(o) if o else np.empty(0) for o in outs]
 
 
@@ -66,8 +79,9 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, query_key: str = "id", do
     Repeated documents each take a place. Empty sides give no rows.
     """
     k = max(1, int(k))
+    ship(docs.sparkSession)
     queries = _usable(queries, query_key, v).select(F.col(query_key).alias("query_id"), F.col(v).alias("qv"))
-    docs = _usable(docs, doc_key, v).select(F.col(doc_key).alias("doc_id"), F.col(v).alias("dv"), (F.col(bias) if bias else F.lit(0.0)).cast("double").alias("b"))
+    docs = _usable(docs, doc_key, v).select(F.col(doc_key).alias("doc_id"), F.col(v).alias("dv"), F.coalesce((F.col(bias) if bias else F.lit(0.0)).cast("double"), F.lit(0.0)).alias("b"))
     out = OUT.format(q=queries.schema["query_id"].dataType.simpleString(), d=docs.schema["doc_id"].dataType.simpleString())
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("qv")).alias("dim")).first()
     if not size.n:
