@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vektrail.session import filesystem
+from vektrail.session import filesystem, write_bytes
 
 
 @dataclass(frozen=True)
@@ -195,10 +195,9 @@ class IncrementalReader:
 
     def _commit(self, state: dict) -> None:
         fs, path = filesystem(self.spark, f"{self.root}/commits/{state['n']:08d}.json")
-        ready, temp = filesystem(self.spark, f"{self.root}/commits/.{uuid.uuid4().hex}")
-        out = ready.create(temp, False)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
+        name = f".{uuid.uuid4().hex}"
+        _, temp = filesystem(self.spark, f"{self.root}/commits/{name}")
+        write_bytes(self.spark, f"{self.root}/commits/{name}", json.dumps(state).encode(), overwrite=False)
         if fs.exists(path) or not fs.rename(temp, path):
             fs.delete(temp, False)
             raise RuntimeError(f"run {state['n']} was committed by another reader")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vektrail.session import filesystem
+from vektrail.session import filesystem, write_bytes
 
 OPEN = ("pending", "shadowed")  # fixed values: states of items that still have to be rewritten
 
@@ -98,9 +98,7 @@ class VersionedTable:
         rows.write.parquet(f"{self.root}/{version}")
         fs, path = filesystem(self.spark, f"{self.root}/CURRENT")
         _, temp = filesystem(self.spark, f"{self.root}/.{version}")
-        out = fs.create(temp, True)
-        out.write(bytearray(version.encode()))
-        out.close()
+        write_bytes(self.spark, f"{self.root}/.{version}", version.encode())
         fs.delete(path, False)
         if not fs.rename(temp, path):
             raise OSError(f"the pointer of {self.root} could not be moved")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,25 +31,6 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_vektrail_shipped", False):
-        return
-    package = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="vektrail-code-")  # read by the driver only, which serves it
-    with tempfile.TemporaryDirectory() as copy:
-        shutil.copytree(package, Path(copy) / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(f"{folder}/vektrail", "zip", copy))
-    context._vektrail_shipped = True
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table of a data directory."""
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -76,6 +58,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
+    """Create a small file; with ``overwrite`` off an existing one is an error."""
+    fs, target = filesystem(spark, path)
+    out = fs.create(target, overwrite)
+    out.write(bytearray(data))
+    out.close()
+
+
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
     try:
         delete_path(spark, path)
@@ -83,6 +73,32 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python can import it.
+
+    The archive is made in memory and lies in the shared folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_vektrail_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    path = f"{shared_dir(spark)}/vektrail/code-{uuid.uuid4().hex}/vektrail.zip"
+    write_bytes(spark, path, packed.getvalue())
+    context.addPyFile(path)
+    atexit.register(_drop_at_exit, spark, path)
+    context._vektrail_shipped = True
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table of a data directory."""
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage.
 
