@@ -4,7 +4,8 @@ The work list is written once as numbered Parquet files in priority order. A str
 reads a few files per micro-batch until none is left; its checkpoint is the resume
 point. Each batch is shadowed first, then mapped and written, then read back, and
 only then marked done. Output is keyed by the batch number, so a batch that is
-repeated after a failure replaces its own files.
+repeated after a failure replaces its own files. A batch whose write is refused is
+halved, and only the rows of the parts that stay refused are marked failed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vektrail.operators import state
 from vektrail.operators.adapters import FITS, Adapter, Moments, held_out_gain
-from vektrail.session import filesystem
+from vektrail.session import delete_path, filesystem
 
 
 @dataclass(frozen=True)
@@ -104,18 +106,54 @@ class Rewrite:
         fs, path = filesystem(self.spark, f"{self.root}/PAUSE")
         fs.delete(path, False)
 
+    def _store(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    def _written(self, mapped: DataFrame, number: int) -> tuple[list[tuple[str, DataFrame]], list[DataFrame]]:
+        """Write a batch, whole if possible, else in parts: (path, rows) of what was written, and the rows refused.
+
+        The whole batch is tried again after a fault, its parts are not.
+        """
+        whole = f"{self.root}/out/batch={number}"
+        fs, pattern = filesystem(self.spark, f"{whole}_*")
+        for path in [whole, *[f.getPath().toString() for f in fs.globStatus(pattern) or []]]:  # of an earlier attempt
+            delete_path(self.spark, path)
+        tried: list[str] = []
+
+        def write(rows: DataFrame) -> None:
+            tried.append(f"{whole}_{len(tried)}" if tried else whole)
+            try:
+                if len(tried) > 1:
+                    self._store(rows, tried[-1])
+                else:
+                    retried(lambda: self._store(rows, whole))
+            except Exception:
+                delete_path(self.spark, tried[-1])
+                raise
+
+        paths, refused = [], []
+        for rows, written in bisected(mapped, write):
+            if written:
+                paths.append((tried[-1], rows))
+            else:
+                refused.append(rows)
+        return paths, refused
+
     def _batch(self, work: DataFrame, number: int) -> None:
         rows = work.join(self.index.select("id", "v"), "id").select("id", "v")
         usable = rows.where(F.col("v").isNotNull() & (F.size("v") > 0))
         usable.write.mode("overwrite").parquet(f"{self.root}/shadow/batch={number}")
         mapped = self.spark.read.parquet(f"{self.root}/shadow/batch={number}").withColumn("v", self.adapter.udf(normalize=True)(F.col("v")))
-        retried(lambda: mapped.write.mode("overwrite").parquet(f"{self.root}/out/batch={number}"))
-        back = self.spark.read.parquet(f"{self.root}/out/batch={number}")
-        good = state.verify_sample(back, mapped).first().ok
-        marks = work.select("id").join(usable.select("id", F.lit(True).alias("_u")), "id", "left")
+        paths, refused = self._written(mapped, number)
+        good = True
+        if paths:
+            expected = reduce(DataFrame.unionByName, [part for _, part in paths])
+            good = state.verify_sample(self.spark.read.parquet(*[path for path, _ in paths]), expected).first().ok
+        bad = reduce(DataFrame.unionByName, [part.select("id") for part in refused], mapped.select("id").limit(0)).distinct()
+        marks = work.select("id").join(usable.select("id", F.lit(True).alias("_u")), "id", "left").join(bad.withColumn("_r", F.lit(True)), "id", "left")
         # rows without a vector stay pending, unless the whole batch has none
         none = usable.isEmpty()
-        status = F.when(F.col("_u"), F.lit("done" if good else "failed")).otherwise(F.lit("skipped" if none else "pending"))
+        status = F.when(F.col("_r"), F.lit("failed")).when(F.col("_u"), F.lit("done" if good else "failed")).otherwise(F.lit("skipped" if none else "pending"))
         marks.select("id", status.alias("state"), F.lit(number).cast("long").alias("seq")).write.mode("overwrite").parquet(f"{self.root}/events/batch={number}")
 
     def run(self, files_per_batch: int = 1, most_batches: int | None = None) -> Outcome:
@@ -163,6 +201,8 @@ class Rewrite:
         if not self._exists("out"):
             return self.index
         done = self.items().where("state = 'done'").select("id")
+        if done.isEmpty():  # out/ may be without files
+            return self.index
         out = self.spark.read.parquet(f"{self.root}/out").select("id", "v").join(done, "id", "left_semi")
         return state.upsert(self.index.withColumn("v", F.col("v").cast("array<double>")), out)
 
