@@ -69,7 +69,7 @@ def fit_residual_mlp(s, d):
     both = pairs(shear(s, d), old(s, d))
     fit = both.where(IS_FIT)
     m = adapters.Moments.of(fit)
-    got = adapters.residual_mlp(fit, m, hidden=64, epochs=10)
+    got = adapters.residual_mlp(fit, m)
     return both.where(IS_QUERY).agg(F.round(F.avg(vec.cosine(got.udf()(F.col("src")), F.col("dst"))), 6).alias("cosine"))
 
 

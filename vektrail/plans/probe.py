@@ -44,7 +44,7 @@ def run_probe(index: DataFrame, fresh: DataFrame, qrels: DataFrame, kinds: Seque
     ranked = rankings[best.name]
     recall_old = metrics.mean_of(metrics.recall_per_query(knn.top_k(index.where(IS_QUERY), index, k, self_mask=True), qrels, k), "recall").first()[0]
     recall_new = metrics.mean_of(metrics.recall_per_query(oracle, qrels, k), "recall").first()[0]
-    interval = metrics.bootstrap(metrics.recall_per_query(ranked, truth, k), "recall", draws=200).first()
+    interval = metrics.bootstrap(metrics.recall_per_query(ranked, truth, k), "recall").first()
     clusters = index.select(F.col("id").alias("query_id"), F.col("label").alias("cluster")) if "label" in index.columns else None
     tail = metrics.tail_recall(metrics.recall_per_query(ranked, truth, k), clusters).first()[0] if clusters is not None else None
     two = metrics.mean_of(metrics.recall_per_query(knn.rescored(ranked, fresh, fresh, k), truth, k), "recall").first()[0] / own
