@@ -116,11 +116,28 @@ def test_clusters_chain_copies_and_sizes(spark):
     assert typical["copy0", 1] == ("copy0", 1.0, 3) and typical["chain0", 1][0] in ("chain2", "chain3") and ("chain0", 4) not in typical
 
 
-def test_power_iteration_result_is_repaired(spark):
-    rows = [(f"h{i}".encode(), f"e{j}".encode()) for i in range(40) for j in (i, i + 1)]  # a long chain of pieces does not converge
-    inc = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in [*rows, (b"x", b"y"), (b"z", b"y")]], "h binary, e binary")
-    labels = {bytes(r.h): bytes(r.label) for r in clusters.assign(inc, steps=1).collect()}
-    assert len({labels[f"h{i}".encode()] for i in range(40)}) == 1 and labels[b"x"] == labels[b"z"] != labels[b"h0"]
+def chain(spark, n):
+    """Pieces e0 .. en in a chain, and two more that share a vector."""
+    rows = [(f"h{i:02d}", f"e{j:02d}") for i in range(n) for j in (i, i + 1)] + [("x", "y"), ("z", "y"), ("z", "yy"), ("w", "yy")]
+    return spark.createDataFrame([(bytearray(a.encode()), bytearray(b.encode()), 0.9) for a, b in rows], clusters.INCIDENCE)
+
+
+def test_long_chains_of_pieces_are_joined_level_by_level(spark):
+    labels = {bytes(r.h).decode(): bytes(r.label) for r in clusters.assign(chain(spark, 24)).collect()}
+    assert len({labels[f"h{i:02d}"] for i in range(24)}) == 1
+    assert labels["x"] == labels["z"] == labels["w"] != labels["h00"]
+
+
+def test_clusters_come_from_the_power_iteration(spark):
+    """Without steps k-means meets random vectors and joins nothing; with them a linked pair that is alone is joined, and of a chain a good part."""
+    _, affinity = clusters.coarsened(chain(spark, 24))
+    names = [f"x{i}" for i in range(clusters.VECTORS)]
+    raw = affinity.select("a").distinct().select("a", *clusters._start("a", 0, names))
+    assert clusters.k_means(affinity, raw).where("a <> label").count() == 0
+    done = {bytes(r.a): bytes(r.label) for r in clusters.k_means(affinity, clusters.power_iteration(affinity)).collect()}
+    assert done[b"y"] == done[b"yy"] and len(set(done.values())) < 0.75 * len(done)
+    with pytest.raises(ValueError):
+        clusters.merged(affinity, steps=0)
 
 
 def test_current_documents(spark):
@@ -239,13 +256,10 @@ def dense_rows(n):
     return [(f"d{i:04d}", blob(v)) for i, v in enumerate(np.concatenate([centre, apart]))]
 
 
-def test_dense_cluster_over_several_leaves(spark, monkeypatch):
+def test_dense_cluster_over_several_leaves(spark):
     """A third and more of all rows in one tight cluster; the tree cuts it, every row still finds its neighbours."""
-    from vektrail.llm import vectors as module
-
     rows = dense_rows(400)
     source = vectors(spark, rows)
-    monkeypatch.setattr(module.fit_tree, "__defaults__", (module.MISS, 150, 20_000))
     x = np.stack([np.frombuffer(b, "<f4") for _, b in rows]).astype("f8")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = set()
@@ -255,20 +269,50 @@ def test_dense_cluster_over_several_leaves(spark, monkeypatch):
         for j in np.argsort(-s)[:5]:
             if s[j] >= 0.86:
                 want.add((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
-    got = {(r.id_a, r.id_b) for r in neighbors.similar_pairs(source).collect()}
+    got = {(r.id_a, r.id_b) for r in neighbors.similar_pairs(source, leaf_rows=30).collect()}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
-    sizes = [r["size"] for r in clusters.of_size(clusters.clusters(source)).collect()]
+    sizes = [r["size"] for r in clusters.of_size(clusters.clusters(source, leaf_rows=30)).collect()]
     assert sizes == [400]
 
 
-def test_spread_of_a_hot_leaf_changes_nothing(spark):
+def test_full_leaves_are_dealt_out_in_blocks(spark, monkeypatch):
+    """Leaves of a tree that may not grow hold several blocks; the result is the same."""
+    from vektrail.llm import vectors as module
+
+    source = vectors(spark, dense_rows(200))
+    whole = {tuple(r) for r in neighbors.similar_pairs(source).collect()}
+    groups = {tuple(r) for r in clusters.of_size(clusters.clusters(source)).select("cluster_id", "size").collect()}
+    monkeypatch.setattr(module, "MOST_LEAVES", 2)
+    tree = module.fit_tree(source, module.MISS, leaf_rows=40)
+    assert tree.leaves == 2 and tree.blocks.max() > 1
+    dealt = {tuple(r) for r in neighbors.similar_pairs(source, leaf_rows=40).collect()}
+    assert len(whole & dealt) >= 0.98 * len(whole | dealt)
+    assert {tuple(r) for r in clusters.of_size(clusters.clusters(source, leaf_rows=40)).select("cluster_id", "size").collect()} == groups
+
+
+def test_descent_equals_the_boxes_of_all_leaves():
+    """The pruned descent finds the leaves that a scan of all leaf boxes finds, and every row's own leaf holds it."""
     from vektrail.llm import vectors as module
-    from vektrail.llm.neighbors import LINKS, TopKernel
 
-    source = vectors(spark, dense_rows(150))
-    tree = module.fit_tree(source, 0.28, leaf_rows=60)
-    sets = [{(bytes(r.q), bytes(r.n)) for r in module.visit_leaves(source, tree, TopKernel, LINKS, spread=s).collect()} for s in (1, 3)]
-    assert len(tree.low) == 8 and sets[0] <= sets[1]
+    rng = np.random.default_rng(4)
+    y = rng.standard_normal((501, module.DIRECTIONS)).astype("f4")  # an odd number: the cuts are values of rows
+    tree = module.Tree.fit(y, 32, 0.05)
+    low, high = np.full((63, module.DIRECTIONS), -np.inf), np.full((63, module.DIRECTIONS), np.inf)
+    for node in range(31):
+        for child in (2 * node + 1, 2 * node + 2):
+            low[child], high[child] = low[node], high[node]
+        high[2 * node + 1, tree.axis[node]] = low[2 * node + 2, tree.axis[node]] = tree.cut[node]
+    low, high = low[31:], high[31:]
+    own = tree.home(y)
+    assert ((y >= low[own]) & (y < high[own])).all()
+    row, leaf, far = tree.visits(y, np.full(501, 0.28))
+    seen = dict(zip(zip(row.tolist(), leaf.tolist(), strict=True), far, strict=True))
+    out = np.maximum(np.maximum(low[None] - y[:, None], y[:, None] - high[None]), 0)
+    d2 = (out * out).sum(2)
+    for (r, k), d in seen.items():
+        assert k != own[r] and math.isclose(d, d2[r, k], rel_tol=1e-4)
+    near = {(int(r), int(k)) for r, k in zip(*np.nonzero((d2 <= tree.limit[1:].min() * 0.28) & (np.arange(32) != own[:, None])), strict=True)}
+    assert near <= set(seen)
 
 
 def test_chi_square_tail():

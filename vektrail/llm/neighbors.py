@@ -1,8 +1,15 @@
 """Most similar vectors for every vector.
 
-Method: stable projections indexed by a kd-tree whose leaves are visited in order
-of projected distance until a chi-square test holds (see ``vectors``); all rows of
-a visited leaf are verified by their cosine.
+Method: stable projections indexed by a kd-tree, in two increments. First every row
+meets the rows of its own leaf; what it found there gives its own search distance: to
+its k-th neighbour so far, or the least cosine. With that distance it descends the
+tree, nearest branches first in the sense that a branch is left out where the
+chi-square test holds, and the rows of the remaining leaves are verified. A verified
+pair counts for both of its rows, so a neighbour is missed only if each of the two
+left out the other's leaf.
+
+Where many rows lie close together their distances are short, so they visit few
+leaves, however many such rows there are.
 """
 
 from __future__ import annotations
@@ -15,14 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vektrail.llm.vectors import MIN_COS, MISS, LeafKernel, Table, fit_tree, members, tables, visit_leaves
+from vektrail.llm.vectors import DIM, LEAF_ROWS, MIN_COS, MISS, ROUTED, Table, _fresh, _routed, _spans, fit_tree, members, tables, tasks
+from vektrail.session import staged
 
 K = 5
-LINKS = "q binary, n binary, cos double"
+BLOCK = 256
+SPARE = 3  # beyond k, against float32 rounding before the float64 check
+LEAST = np.float32(MIN_COS - 1e-6)
+NEAR = np.dtype([("n", "S16"), ("cos", "<f8")])  # one found neighbour in the body of a result
+RESULT, VISIT = 0, 1
 
 
 def _best(group: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest values of each group."""
+    """Positions of the k largest values of each group, by group."""
     order = np.lexsort((-value, group))
     g = group[order]
     first = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1)) if len(g) else np.empty(0, np.int64)
@@ -30,96 +42,161 @@ def _best(group: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-class TopKernel(LeafKernel):
-    """Keeps the K best of each row, of both sides of every comparison."""
+def _top(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the best k + SPARE of each row, none under ``MIN_COS``; few or many qualify."""
+    k = k + SPARE
+    flat = np.flatnonzero(cos >= LEAST)
+    if len(flat) <= 4 * k * len(cos) or cos.shape[1] <= k:
+        i, j = np.divmod(flat, cos.shape[1])
+        best = _best(i, cos.ravel()[flat], k)
+        return i[best], j[best]
+    j = np.argpartition(-cos, k, axis=1)[:, :k]
+    i = np.repeat(np.arange(len(cos)), k)
+    good = cos[i, j.ravel()] >= LEAST
+    return i[good], j.ravel()[good]
 
-    SPARE = 3  # beyond K, against float32 rounding before the float64 check
 
-    def inside(self) -> None:
-        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # own row, key of the other, cosine
-        for lo in range(0, len(self.own) if self.first else 0, self.BLOCK):
-            cos = self.own[lo : lo + self.BLOCK] @ self.own.T
-            at = np.arange(len(cos))
-            cos[at, lo + at] = -2
-            i, j = self.top(cos)
-            self.keep(lo + i, self.own_keys[j], self.exact(self.own[lo + i], self.own[j]))
-
-    def top(self, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the best K + SPARE of each row, none under ``MIN_COS``; few or many qualify."""
-        k = K + self.SPARE
-        flat = np.flatnonzero(cos >= self.LEAST)
-        if len(flat) <= 4 * k * len(cos) or cos.shape[1] <= k:
-            i, j = np.divmod(flat, cos.shape[1])
-            best = _best(i, cos.ravel()[flat], k)
-            return i[best], j[best]
-        j = np.argpartition(-cos, k, axis=1)[:, :k]
-        i = np.repeat(np.arange(len(cos)), k)
-        good = cos[i, j.ravel()] >= self.LEAST
-        return i[good], j.ravel()[good]
-
-    @staticmethod
-    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.round(np.einsum("ij,ij->i", a.astype("f8"), b.astype("f8")), 9)
-
-    def keep(self, row: np.ndarray, key: np.ndarray, cos: np.ndarray) -> None:
-        self.found.append((row, key, cos))
-        if sum(len(x[0]) for x in self.found) > 400_000:
-            self.shrink()
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(np.einsum("ij,ij->i", a.astype("f8"), b.astype("f8")), 9)
 
-    def shrink(self) -> None:
-        row, key, cos = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        top = _best(row, cos, K)
-        self.found = [(row[top], key[top], cos[top])]
-
-    @staticmethod
-    def batch(q: np.ndarray, n: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(q.tolist(), pa.binary()), pa.array(n.tolist(), pa.binary()), pa.array(cos, pa.float64())], ["q", "n", "cos"])
-
-    def visit(self, keys: np.ndarray, vecs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.build()
-        for lo in range(0, len(vecs), self.BLOCK) if len(self.own) else ():
-            rows = vecs[lo : lo + self.BLOCK]
-            cos = rows @ self.own.T
-            i, j = self.top(cos)
-            if not len(i):
-                continue
-            value = self.exact(rows[i], self.own[j])
-            best = _best(i, value, K)
-            yield self.batch(keys[lo + i[best]], self.own_keys[j[best]], value[best])
-            j, i = self.top(cos.T)
-            self.keep(j, keys[lo + i], self.exact(rows[i], self.own[j]))
-
-    def end(self) -> Iterator[pa.RecordBatch]:
-        self.build()
-        if self.found:
-            self.shrink()
-            row, key, cos = self.found[0]
-            yield self.batch(self.own_keys[row], key, cos)
 
+class Found:
+    """The k best (row, other, cosine) so far; shrunk as they come."""
 
-def links(source: Table, k: int = K, miss: float = MISS) -> DataFrame:
-    """(q, n, cos, place): the k nearest other contents of each content, by key.
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [], 0
 
-    No pair comes twice: a content lies in one leaf and visits another one once.
-    """
-    tree = fit_tree(source, 2 - 2 * MIN_COS, miss)
-    seen = visit_leaves(source, tree, TopKernel, LINKS).where(F.col("cos") >= MIN_COS)
+    def add(self, row: np.ndarray, other: np.ndarray, cos: np.ndarray) -> None:
+        self.parts.append((row, other, cos))
+        self.held += len(row)
+        if self.held > 400_000:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        row, other, cos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        top = _best(row, cos, self.k)
+        self.parts, self.held = [(row[top], other[top], cos[top])], len(top)
+        return self.parts[0]
+
+    def bodies(self, names: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(rows, their neighbours as bytes, cosine of the k-th or -1) of the rows that found any; names are the keys of ``other``."""
+        row, other, cos = self.shrink()
+        near = np.empty(len(row), NEAR)
+        near["n"], near["cos"] = names[other], cos
+        who, first, n = np.unique(row, return_index=True, return_counts=True)
+        kth = np.where(n >= self.k, cos[np.minimum(first + self.k - 1, max(0, len(cos) - 1))], -1.0)
+        raw = near.tobytes()
+        return who, [raw[a * NEAR.itemsize : (a + c) * NEAR.itemsize] for a, c in zip(first.tolist(), n.tolist(), strict=True)], kth
+
+
+def _names(keys: list[bytes]) -> np.ndarray:
+    """Content keys as fixed-width bytes; such an array drops trailing zeros only when read as objects."""
+    return np.frombuffer(b"".join(keys), "S16") if keys else np.empty(0, "S16")
+
+
+def links(source: Table, k: int = K, miss: float = MISS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(q, n, cos, place): the k nearest other contents of each content, by key."""
+    spark = source.rows.sparkSession
+    tree = fit_tree(source, miss, leaf_rows)
+    shared = spark.sparkContext.broadcast(tree)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            rows, keys = _fresh(b.column(0), seen)
+            leaf = shared.value.home(rows @ shared.value.directions)
+            part = [key[0] % int(n) for key, n in zip(keys, shared.value.blocks[leaf], strict=True)]
+            yield _routed(leaf, part, [0] * len(keys), keys, [r.tobytes() for r in rows])
+
+    def at_home(block: tuple[int, int], keys: list[bytes], own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tree, found = shared.value, Found(k)
+        for lo in range(0, len(own), BLOCK):
+            cos = own[lo : lo + BLOCK] @ own.T
+            at = np.arange(len(cos))
+            cos[at, lo + at] = -2
+            i, j = _top(cos, k)
+            found.add(lo + i, j, _exact(own[lo + i], own[j]))
+        who, bodies, kth = found.bodies(_names(keys))
+        yield _routed([block[0]] * len(who), [block[1]] * len(who), [RESULT] * len(who), [keys[i] for i in who], bodies)
+        least = np.full(len(own), MIN_COS)
+        least[who] = np.maximum(MIN_COS, kth)
+        row, leaf, _ = tree.visits(own @ tree.directions, 2 - 2 * least)
+        parts = tree.blocks[leaf]
+        others = np.flatnonzero(np.arange(tree.blocks[block[0]]) != block[1])  # blocks of its own leaf
+        for lo in range(0, len(row), 50_000):
+            r, f, n = row[lo : lo + 50_000], leaf[lo : lo + 50_000], parts[lo : lo + 50_000]
+            r, f, p = np.repeat(r, n), np.repeat(f, n), np.concatenate([np.arange(c) for c in n])
+            yield _routed(f, p, [VISIT] * len(r), [keys[i] for i in r], [own[i].tobytes() for i in r])
+        for p in others:
+            yield _routed([block[0]] * len(own), [p] * len(own), [VISIT] * len(own), keys, [v.tobytes() for v in own])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, keys, vecs = None, [], []
+        for block, _, some, rows in _spans(batches):
+            if block != current and keys:
+                yield from at_home(current, keys, np.concatenate(vecs))
+                keys, vecs = [], []
+            current = block
+            keys += some
+            vecs.append(rows)
+        if keys:
+            yield from at_home(current, keys, np.concatenate(vecs))
+
+    def second(home: pa.Table, met: pa.Table) -> pa.Table:
+        role = met.column("role").to_numpy()
+        done = met.filter(pa.array(role == RESULT)).select(["h", "body"])
+        met = met.filter(pa.array(role == VISIT))
+        once = dict(zip(home.column("h").to_pylist(), home.column("body").to_pylist(), strict=True))
+        keys, own = list(once), np.frombuffer(b"".join(once.values()), "<f4").reshape(-1, DIM)
+        guests = met.column("h").to_pylist()
+        rows = np.frombuffer(b"".join(met.column("body").to_pylist()), "<f4").reshape(-1, DIM)
+        theirs, mine = Found(k), Found(k)
+        for lo in range(0, len(rows), BLOCK) if keys else ():
+            part = rows[lo : lo + BLOCK]
+            cos = part @ own.T
+            i, j = _top(cos, k)
+            theirs.add(lo + i, j, _exact(part[i], own[j]))
+            j, i = _top(cos.T, k)
+            mine.add(j, lo + i, _exact(part[i], own[j]))
+        outs = [done]
+        for found, askers, others in ((theirs, guests, keys), (mine, keys, guests)):
+            who, bodies, _ = found.bodies(_names(others))
+            outs.append(pa.table({"h": pa.array([askers[i] for i in who], pa.binary()), "body": pa.array(bodies, pa.binary())}))
+        return pa.concat_tables(outs)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b.column(1).to_pylist()
+            near = np.frombuffer(b"".join(bodies), NEAR)
+            raw = near["n"].astype("S16").tobytes()
+            q = b.column(0).take(pa.array(np.repeat(np.arange(len(bodies)), [len(x) // NEAR.itemsize for x in bodies])))
+            n = pa.Array.from_buffers(pa.binary(), len(near), [None, pa.py_buffer(np.arange(0, 16 * len(near) + 1, 16, dtype="<i4").tobytes()), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([q, n, pa.array(near["cos"])], ["q", "n", "cos"])
+
+    n = tasks(tree)
+    home = source.rows.select("raw").mapInArrow(route, ROUTED).repartition(n, "leaf", "part")
+    sent = home.sortWithinPartitions("leaf", "part", "role", "h").mapInArrow(first, ROUTED).repartition(n, "leaf", "part")
+    seen = home.groupBy("leaf", "part").cogroup(sent.groupBy("leaf", "part")).applyInArrow(second, "h binary, body binary")
+    seen = seen.mapInArrow(unpacked, "q binary, n binary, cos double").where(F.col("cos") >= MIN_COS)
+    # the two of a pair may have visited each other: no pair may take two places
     w = W.partitionBy("q").orderBy(F.desc("cos"), "n")
-    return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return seen.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k).drop("r").distinct().withColumn("place", F.row_number().over(w))
 
 
-def similar_pairs(source: Table, k: int = K, miss: float = MISS) -> DataFrame:
+def similar_pairs(source: Table, k: int = K, miss: float = MISS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(id_a, id_b): pairs of ids of which one is among the k most similar of the other.
 
     Identical vectors share one place in the search. Each of them has the others
     first, in order of their ids, then the members of the nearest other contents.
     Unusable vectors, and an empty table, give nothing.
     """
-    who = members(source)
+    who = staged(members(source), "members")
     smallest = who.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
     # own copies are at place 0; k + 1 ids are enough for any member to find k others
     own = smallest.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").join(smallest, "h").select(F.col("h").alias("q"), F.lit(0).alias("place"), F.lit(2.0).alias("cos"), F.col("id").alias("nid"))
-    near = links(source, k, miss).join(smallest.where(F.col("r") <= k).withColumnRenamed("h", "n"), "n").select("q", "place", "cos", F.col("id").alias("nid"))
+    near = links(source, k, miss, leaf_rows).join(smallest.where(F.col("r") <= k).withColumnRenamed("h", "n"), "n").select("q", "place", "cos", F.col("id").alias("nid"))
     w = W.partitionBy("q").orderBy(F.desc("cos"), "nid")
     lists = own.unionByName(near).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "nid"))).alias("near"))
     ids = lists.join(who.withColumnRenamed("h", "q"), "q").select("id", F.expr(f"slice(filter(near, x -> x.nid != id), 1, {k})").alias("near"))

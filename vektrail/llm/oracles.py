@@ -45,6 +45,12 @@ c AS (SELECT tab, x AS id, min(y) AS cluster_id, count(*) AS size FROM reach GRO
 SELECT tab, cluster_id, id FROM c WHERE size >= 3
 """
 
+P4_CLUSTERS = P4.replace("SELECT tab, cluster_id, id FROM c WHERE size >= 3", """, k AS (SELECT c.*, u.v FROM c JOIN unit u ON u.tab = c.tab AND u.id = c.id WHERE size >= 3),
+a AS (SELECT x.tab, x.cluster_id, x.size, x.id, round((sum(list_dot_product(x.v, y.v)) - 1) / (x.size - 1), 6) AS affinity
+  FROM k x JOIN k y ON y.tab = x.tab AND y.cluster_id = x.cluster_id GROUP BY x.tab, x.cluster_id, x.size, x.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY tab, cluster_id ORDER BY affinity DESC, id) AS place FROM a)
+SELECT tab, cluster_id, size, place, id, affinity FROM r WHERE place <= 3""")
+
 P5 = """
 WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS tok FROM w WHERE len(ws) >= 30),
@@ -53,4 +59,4 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 SELECT a AS doc_a, b AS doc_b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o >= 0.5 * (x.n + y.n - o)
 """
 
-ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5}
+ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_clusters": P4_CLUSTERS, "p5_found": P5}

@@ -2,11 +2,12 @@
 
 Unit vectors are projected on a few orthonormal Gaussian directions (Gaussian laws
 are 2-stable, so a projected difference has variance d^2 per direction). A kd-tree
-over a bounded sample of projections cuts the space into leaves of up to
-about ``LEAF_ROWS`` rows; every row is put into exactly one leaf. A row also visits those
-other leaves that could hold a neighbour within the radius, nearest leaf first: the
-visit ends where the chi-square test says that a neighbour at the radius lies that
-far out in the violated directions with a probability under ``miss``.
+over a bounded sample of projections cuts the space into leaves; every row is put
+into exactly one leaf. A row then descends the tree once more, with the distance it
+searches for: a branch is left out where the chi-square test says that a neighbour at
+that distance lies so far beyond the cuts on its way with a probability of at most
+``miss``. The neighbour search uses each row's own distance, known from its leaf; the
+cluster search uses the radius of a link.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from vektrail.session import staged, table
 
 DIM = 64
 MIN_COS = 0.86
-LEAF_ROWS = 16_000
-SAMPLE_ROWS = 20_000  # rows the tree is fitted on, at most about this many
+LEAF_ROWS = 16_000  # rows of a leaf, about
+LEAST_LEAVES = 8
+SAMPLE_ROWS = 20_000  # rows the tree is fitted on, about, or ``PER_LEAF`` for each leaf if that is more
+PER_LEAF = 8
+MOST_LEAVES = 1 << 18  # bounds the sample to 2 M projected rows; beyond it leaves are dealt out in blocks
 DIRECTIONS = 16
-MISS = 0.1
+MISS = 0.05
 SMALL_ROWS = 200_000  # rows of three numbers that may be broadcast
-ROUTED = "leaf int, part int, role int, h binary, vec binary"
+ROUTED = "leaf int, part int, role int, h binary, body binary"
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,7 @@ class Table:
 
     name: str
     rows: DataFrame
+    about: DataFrame | None = None  # a table of about as many rows that can be counted without reading them
 
 
 def current_documents(docs: DataFrame) -> DataFrame:
@@ -59,9 +64,9 @@ def current_documents(docs: DataFrame) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> list[Table]:
-    docs = current_documents(table(spark, sf_dir, "vec_documents"))
-    cache = table(spark, sf_dir, "vectors").where(F.col("key").isNotNull()).select(F.col("key").alias("id"), F.col("vector").alias("raw"))
-    return [Table("vec_documents", docs), Table("vectors", cache)]
+    docs, cache = table(spark, sf_dir, "vec_documents"), table(spark, sf_dir, "vectors")
+    blobs = cache.where(F.col("key").isNotNull()).select(F.col("key").alias("id"), F.col("vector").alias("raw"))
+    return [Table("vec_documents", current_documents(docs), docs), Table("vectors", blobs, cache)]
 
 
 def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +88,12 @@ def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at[good], rows[good]
 
 
-def unit(rows: np.ndarray) -> np.ndarray:
+def unit(rows: np.ndarray, kind: str = "f4") -> np.ndarray:
     wide = rows.astype("f8")
     if not len(wide):
         return rows
     wide /= np.abs(wide).max(1, keepdims=True)  # lengths near the ends of the float range
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype("f4")
+    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(kind)
 
 
 def content_key(row: np.ndarray) -> bytes:
@@ -130,68 +135,90 @@ def directions(seed: int = 7) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tree:
-    """Projection and leaf boxes; its size is DIM * DIRECTIONS + 2 * leaves * DIRECTIONS numbers."""
+    """A complete binary tree of cuts; inner node i has the children 2 i + 1 (below) and 2 i + 2."""
 
     directions: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    limit: np.ndarray  # by number of violated cuts
+    axis: np.ndarray
+    cut: np.ndarray
+    limit: np.ndarray  # squared projected distance at which a branch is left out, in units of d^2, by number of violated cuts
+    blocks: np.ndarray  # into how many blocks a leaf is dealt
 
     @classmethod
-    def fit(cls, points: np.ndarray, leaves: int, radius2: float, miss: float) -> Tree:
-        boxes = [(np.full(DIRECTIONS, -np.inf), np.full(DIRECTIONS, np.inf), points)]
-        while len(boxes) < leaves:
-            halves = []
-            for low, high, inside in boxes:
-                axis = int(inside.var(0).argmax()) if len(inside) else 0
-                cut = float(np.median(inside[:, axis])) if len(inside) else 0.0
-                up, down = low.copy(), high.copy()
-                up[axis] = down[axis] = cut
-                below = inside[:, axis] < cut
-                halves += [(low, down, inside[below]), (up, high, inside[~below])]
-            boxes = halves
-        limit = np.array([0.0] + [stop_at(j, miss) for j in range(1, DIRECTIONS + 1)]) * radius2
-        return cls(directions(), np.stack([b[0] for b in boxes]).astype("f4"), np.stack([b[1] for b in boxes]).astype("f4"), limit.astype("f4"))
-
-    def visits(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Own leaf of each row, then (row, leaf) of the other leaves it visits.
-
-        Of two leaves only one side visits the other, chosen by the parity of their
-        numbers, so that the load is even and no pair is compared twice.
+    def fit(cls, points: np.ndarray, leaves: int, miss: float, blocks: np.ndarray | None = None) -> Tree:
+        """Every cut is the median of the widest direction of the sample points inside."""
+        axis, cut = np.zeros(leaves - 1, np.int64), np.zeros(leaves - 1)
+        inside = [np.arange(len(points))]
+        for node in range(leaves - 1):
+            here = points[inside[node]]
+            if len(here):
+                axis[node] = here.var(0).argmax()
+                cut[node] = np.median(here[:, axis[node]])
+            below = here[:, axis[node]] < cut[node]
+            inside += [inside[node][below], inside[node][~below]]
+        limit = np.array([0.0] + [stop_at(j, miss) for j in range(1, DIRECTIONS + 1)])
+        return cls(directions(), axis, cut, limit, np.ones(leaves, np.int64) if blocks is None else blocks)
+
+    @property
+    def leaves(self) -> int:
+        return len(self.cut) + 1
+
+    def home(self, y: np.ndarray) -> np.ndarray:
+        """The leaf of each projected row."""
+        node = np.zeros(len(y), np.int64)
+        while len(node) and node[0] < self.leaves - 1:
+            node = 2 * node + 1 + (y[np.arange(len(y)), self.axis[node]] >= self.cut[node])
+        return node - (self.leaves - 1)
+
+    def visits(self, y: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, distance^2) of the other leaves where a row may have a neighbour at squared distance ``d2``.
+
+        All rows descend at once. At a cut the near branch is free; the far one adds the
+        violated cut to the row's projected distance and is left out where the test holds.
         """
-        y = rows @ self.directions
-        n, leaves = len(y), len(self.low)
-        own = np.zeros(n, dtype=np.int64)
-        row, leaf = [], []
-        inside = np.empty((n, leaves), dtype=bool)
-        near = np.empty((n, leaves), dtype=bool)
-        for k in range(leaves):
-            out = np.maximum(np.maximum(self.low[k] - y, y - self.high[k]), 0)
-            cuts = (out > 0).sum(1)
-            near[:, k] = (out * out).sum(1) <= self.limit[cuts]
-            inside[:, k] = ((y >= self.low[k]) & (y < self.high[k])).all(1)
-        own = inside.argmax(1)
-        k = np.arange(leaves)
-        mine = (own[:, None] < k) == ((own[:, None] + k) % 2 == 0)
-        row, leaf = np.nonzero(near & mine & (own[:, None] != k))
-        return own, row, leaf
-
-
-def fit_tree(source: Table, radius2: float, miss: float = MISS, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Tree:
-    """The tree over a bounded hash sample of the rows; every row is indexed later."""
-    total = source.rows.count()
-    leaves = 1 << max(0, math.ceil(math.log2(max(1, total) / leaf_rows))) if total > leaf_rows else 1
-    every = max(1, total // sample_rows)
+        rows, leaves, far = [], [], []
+        for lo in range(0, len(y), 2_048):
+            at = y[lo : lo + 2_048]
+            row, node, away = np.arange(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+            out = np.zeros((len(at), DIRECTIONS), y.dtype)
+            while len(node) and node[0] < self.leaves - 1:
+                axis = self.axis[node]
+                beyond = at[row, axis] - self.cut[node]
+                other = out.copy()
+                other[np.arange(len(row)), axis] = np.abs(beyond)
+                goes = (other * other).sum(1) <= self.limit[(other > 0).sum(1)] * d2[lo + row]
+                side = (beyond >= 0).astype(np.int64)
+                row, node = np.concatenate([row, row[goes]]), np.concatenate([2 * node + 1 + side, (2 * node + 2 - side)[goes]])
+                out, away = np.concatenate([out, other[goes]]), np.concatenate([away, np.ones(goes.sum(), bool)])
+            rows.append(lo + row[away])
+            leaves.append(node[away] - (self.leaves - 1))
+            far.append((out[away] ** 2).sum(1))
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return np.concatenate(rows), np.concatenate(leaves), np.concatenate(far)
+
+
+def fit_tree(source: Table, miss: float = MISS, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Tree:
+    """The tree over a bounded hash sample of the rows; every row is indexed later.
+
+    The sample tells how full the leaves are: one that holds more than twice its rows
+    is dealt out in blocks.
+    """
+    total = (source.about or source.rows).count()
+    leaves = min(MOST_LEAVES, max(LEAST_LEAVES, 1 << math.ceil(math.log2(max(1, total / leaf_rows)))))
+    every = max(1, total // max(sample_rows, PER_LEAF * leaves))
     picked = source.rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("raw")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, rows = usable(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in unit(rows) @ directions()], pa.binary())], ["y"])
+            y = (unit(rows) @ directions()).astype("f4")
+            yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary())], ["y"])
 
-    got = picked.mapInArrow(take, "y binary").toArrow().column(0).to_pylist() if leaves > 1 else []
-    sample = np.frombuffer(b"".join(got), "<f4").reshape(-1, DIRECTIONS)
-    return Tree.fit(sample, leaves, radius2, miss)
+    got = picked.mapInArrow(take, "y binary").toArrow().column(0).to_pylist()
+    sample = np.frombuffer(b"".join(sorted(got)), "<f4").reshape(-1, DIRECTIONS)
+    tree = Tree.fit(sample, leaves, miss)
+    held = np.bincount(tree.home(sample), minlength=leaves) * (total / max(1, len(sample)))
+    return Tree.fit(sample, leaves, miss, np.maximum(1, np.ceil(held / (2 * leaf_rows)).astype(np.int64)))
 
 
 def members(source: Table) -> DataFrame:
@@ -206,75 +233,89 @@ def members(source: Table) -> DataFrame:
     return source.rows.select("id", "raw").mapInArrow(keys, "h binary, id string").distinct()
 
 
-def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int, int], LeafKernel], schema: str, spread: int = 1) -> DataFrame:
-    """Route every vector to its leaf and to the leaves it visits, and run a kernel per leaf.
+def _fresh(raw: pa.Array, seen: set[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Unit rows and content keys of the usable vectors that this task has not met yet."""
+    _, rows = usable(raw)
+    keys, fresh = [content_key(r) for r in rows], []
+    for i, key in enumerate(keys):
+        if key not in seen:
+            fresh.append(i)
+            seen.add(key)
+    if len(seen) > 200_000:
+        seen.clear()
+    return unit(rows[fresh]), [keys[i] for i in fresh]
+
+
+def _routed(leaf, part, role, keys: list[bytes], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), pa.array(role, pa.int32()), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["leaf", "part", "role", "h", "body"])
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, list[bytes], np.ndarray]]:
+    """(block, role, keys, vectors) of runs of rows sorted by (leaf, part, role, h); repeated rows come once."""
+    last = None
+    for b in batches:
+        leaf, part, role = (b.column(i).to_numpy() for i in range(3))
+        keys = b.column(3).to_pylist()
+        vecs = np.frombuffer(b"".join(b.column(4).to_pylist()), "<f4").reshape(-1, DIM)
+        edge = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0) | (np.diff(role) != 0)) + 1
+        for lo, hi in zip([0, *edge], [*edge, len(leaf)], strict=True):
+            block, keep = (int(leaf[lo]), int(part[lo])) if hi > lo else None, []
+            for i in range(lo, hi):
+                now = (block, role[i], keys[i])
+                if now != last:
+                    keep.append(i)
+                last = now
+            if keep:
+                yield block, int(role[lo]), [keys[i] for i in keep], vecs[keep]
+
+
+def tasks(tree: Tree) -> int:
+    """Reduce tasks of a search: by hash, twice as many as blocks, so that few blocks share one."""
+    return int(max(1, min(2 * tree.blocks.sum(), 4_096)))
+
+
+def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int, int], LeafKernel], schema: str, d2: float) -> DataFrame:
+    """Route every vector to its leaf and to the leaves it visits at one radius, and run a kernel per leaf.
 
     Identical vectors are merged on the map side and again as they arrive, sorted, in
-    the leaf. A leaf's own rows come first and stay; visitors stream past them in Arrow
-    batches, so memory follows the leaf, not the number of visitors. Visitors of a
-    leaf are dealt to ``spread`` parts, each of which gets the leaf's own rows.
+    the leaf. Of two leaves only one visits the other, chosen by the parity of their
+    numbers, so that the load is even and no pair is compared twice. A leaf's own rows
+    come first and stay; visitors stream past them in Arrow batches, so memory follows
+    the leaf, not the number of visitors. Visitors of a full leaf are dealt to its
+    blocks, each of which gets the leaf's own rows.
     """
     shared = source.rows.sparkSession.sparkContext.broadcast(tree)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        tree = shared.value
         for b in batches:
-            _, rows = usable(b.column(0))
-            keys = [content_key(r) for r in rows]
-            fresh = []
-            for i, key in enumerate(keys):
-                if key not in seen:
-                    fresh.append(i)
-                    seen.add(key)
-            if len(seen) > 200_000:
-                seen = set()
-            rows, keys = unit(rows[fresh]), [keys[i] for i in fresh]
-            own, row, leaf = shared.value.visits(rows)
+            rows, keys = _fresh(b.column(0), seen)
+            y = rows @ tree.directions
+            own = tree.home(y)
+            row, leaf, _ = tree.visits(y, np.full(len(y), d2))
+            mine = (own[row] < leaf) == ((own[row] + leaf) % 2 == 0)
+            row, leaf = row[mine], leaf[mine]
             blobs = [r.tobytes() for r in rows]
-            part = [keys[i][0] % spread for i in row]
-            home = [(i, int(k), p) for i, k in enumerate(own) for p in range(spread)]
+            home = [(i, int(k), p) for i, k in enumerate(own) for p in range(tree.blocks[k])]
             who = [i for i, _, _ in home] + row.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for _, k, _ in home] + leaf.tolist(), pa.int32()),
-                    pa.array([p for _, _, p in home] + part, pa.int32()),
-                    pa.array([0] * len(home) + [1] * len(row), pa.int32()),
-                    pa.array([keys[i] for i in who], pa.binary()),
-                    pa.array([blobs[i] for i in who], pa.binary()),
-                ],
-                ["leaf", "part", "role", "h", "vec"],
-            )
+            part = [keys[i][0] % int(tree.blocks[k]) for i, k in zip(row, leaf, strict=True)]
+            yield _routed([k for _, k, _ in home] + leaf.tolist(), [p for _, _, p in home] + part, [0] * len(home) + [1] * len(row), [keys[i] for i in who], [blobs[i] for i in who])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: tuple[int, int] | None = None
-        state: LeafKernel | None = None
-        last: tuple[int, bytes] | None = None
-        for b in batches:
-            leaf, part, role = (b.column(i).to_numpy() for i in range(3))
-            keys = np.array(b.column(3).to_pylist(), dtype=object)
-            vecs = np.frombuffer(b"".join(b.column(4).to_pylist()), "<f4").reshape(-1, DIM)
-            edge = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0) | (np.diff(role) != 0)) + 1
-            for lo, hi in zip([0, *edge], [*edge, len(leaf)], strict=True):
-                if lo == hi:
-                    continue
-                if current != (leaf[lo], part[lo]):
-                    if state is not None:
-                        yield from state.end()
-                    current, state, last = (leaf[lo], part[lo]), kernel(int(leaf[lo]), int(part[lo])), None
-                keep = np.ones(hi - lo, dtype=bool)
-                for i in range(lo, hi):
-                    now = (int(role[i]), keys[i])
-                    keep[i - lo] = now != last
-                    last = now
-                which = np.flatnonzero(keep) + lo
-                state.add(keys[which], vecs[which]) if role[lo] == 0 else (yield from state.visit(keys[which], vecs[which]))
+        current, state = None, None
+        for block, role, keys, vecs in _spans(batches):
+            if current != block:
+                if state is not None:
+                    yield from state.end()
+                current, state = block, kernel(*block)
+            keys = np.array(keys, dtype=object)
+            state.add(keys, vecs) if role == 0 else (yield from state.visit(keys, vecs))
         if state is not None:
             yield from state.end()
 
-    leaves = len(tree.low) * spread
     routed = source.rows.select("raw").mapInArrow(route, ROUTED)
-    parts = max(1, min(4 * leaves, 4_096))  # by hash: four times as many, so that few leaves share a task
-    return routed.repartition(parts, "leaf", "part").sortWithinPartitions("leaf", "part", "role", "h").mapInArrow(work, schema)
+    return routed.repartition(tasks(tree), "leaf", "part").sortWithinPartitions("leaf", "part", "role", "h").mapInArrow(work, schema)
 
 
 class LeafKernel:
@@ -302,9 +343,11 @@ class LeafKernel:
 
     LEAST = np.float32(MIN_COS - 1e-6)
 
-    def pairs(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (row, other) at ``MIN_COS`` or more."""
-        return np.divmod(np.flatnonzero(rows @ others.T >= self.LEAST), len(others))
+    def pairs(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions (row, other) at ``MIN_COS`` or more, and their cosines."""
+        cos = rows @ others.T
+        at = np.flatnonzero(cos >= self.LEAST)
+        return *np.divmod(at, len(others)), cos.ravel()[at]
 
     def inside(self) -> None:
         raise NotImplementedError
