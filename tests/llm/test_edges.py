@@ -290,6 +290,17 @@ def test_full_leaves_are_dealt_out_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in clusters.of_size(clusters.clusters(source, leaf_rows=40)).select("cluster_id", "size").collect()} == groups
 
 
+def test_slots_deal_blocks_evenly(spark):
+    from vektrail.llm import vectors as module
+
+    y = np.random.default_rng(6).standard_normal((400, module.DIRECTIONS)).astype("f4")
+    tree = module.Tree.fit(y, 16, 0.1, np.array([1, 3, 2] * 5 + [1]))
+    slots, start = tree.slots()
+    assert len(set(slots.tolist())) == tree.blocks.sum() == tree.tasks and start[1] == 1 and start[2] == 4
+    got = spark.createDataFrame([(int(x),) for x in slots], "slot int").repartition(tree.tasks, "slot").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert got == tree.tasks
+
+
 def test_descent_equals_the_boxes_of_all_leaves():
     """The pruned descent finds the leaves that a scan of all leaf boxes finds, and every row's own leaf holds it."""
     from vektrail.llm import vectors as module

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vektrail.llm.vectors import DIM, LEAF_ROWS, MIN_COS, MISS, ROUTED, Table, _fresh, _routed, _spans, fit_tree, members, tables, tasks
-from vektrail.session import staged
+from vektrail.llm.vectors import DIM, LEAF_ROWS, MIN_COS, MISS, ROUTED, Table, _fresh, _routed, _spans, fit_tree, members, tables
 
 K = 5
 BLOCK = 256
@@ -104,14 +103,17 @@ def links(source: Table, k: int = K, miss: float = MISS, leaf_rows: int = LEAF_R
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        tree = shared.value
+        slots, start = tree.slots()
         for b in batches:
             rows, keys = _fresh(b.column(0), seen)
-            leaf = shared.value.home(rows @ shared.value.directions)
-            part = [key[0] % int(n) for key, n in zip(keys, shared.value.blocks[leaf], strict=True)]
-            yield _routed(leaf, part, [0] * len(keys), keys, [r.tobytes() for r in rows])
+            leaf = tree.home(rows @ tree.directions)
+            part = np.array([key[0] for key in keys], np.int64) % tree.blocks[leaf]
+            yield _routed(slots[start[leaf] + part], [VISIT] * len(keys), keys, [r.tobytes() for r in rows])
 
-    def at_home(block: tuple[int, int], keys: list[bytes], own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def at_home(slot: int, keys: list[bytes], own: np.ndarray) -> Iterator[pa.RecordBatch]:
         tree, found = shared.value, Found(k)
+        slots, start = tree.slots()
         for lo in range(0, len(own), BLOCK):
             cos = own[lo : lo + BLOCK] @ own.T
             at = np.arange(len(cos))
@@ -119,26 +121,28 @@ def links(source: Table, k: int = K, miss: float = MISS, leaf_rows: int = LEAF_R
             i, j = _top(cos, k)
             found.add(lo + i, j, _exact(own[lo + i], own[j]))
         who, bodies, kth = found.bodies(_names(keys))
-        yield _routed([block[0]] * len(who), [block[1]] * len(who), [RESULT] * len(who), [keys[i] for i in who], bodies)
+        yield _routed([slot] * len(who), [RESULT] * len(who), [keys[i] for i in who], bodies)
         least = np.full(len(own), MIN_COS)
         least[who] = np.maximum(MIN_COS, kth)
         row, leaf, _ = tree.visits(own @ tree.directions, 2 - 2 * least)
-        parts = tree.blocks[leaf]
-        others = np.flatnonzero(np.arange(tree.blocks[block[0]]) != block[1])  # blocks of its own leaf
+        home = int(np.searchsorted(start, np.flatnonzero(slots == slot)[0], "right")) - 1
+        if tree.blocks[home] > 1:  # the other blocks of its own leaf
+            row, leaf = np.concatenate([row, np.arange(len(own))]), np.concatenate([leaf, np.full(len(own), home)])
         for lo in range(0, len(row), 50_000):
-            r, f, n = row[lo : lo + 50_000], leaf[lo : lo + 50_000], parts[lo : lo + 50_000]
-            r, f, p = np.repeat(r, n), np.repeat(f, n), np.concatenate([np.arange(c) for c in n])
-            yield _routed(f, p, [VISIT] * len(r), [keys[i] for i in r], [own[i].tobytes() for i in r])
-        for p in others:
-            yield _routed([block[0]] * len(own), [p] * len(own), [VISIT] * len(own), keys, [v.tobytes() for v in own])
+            r, f = row[lo : lo + 50_000], leaf[lo : lo + 50_000]
+            n = tree.blocks[f]
+            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            to, r = slots[np.repeat(start[f], n) + part], np.repeat(r, n)
+            to, r = to[to != slot], r[to != slot]
+            yield _routed(to, [VISIT] * len(r), [keys[i] for i in r], [own[i].tobytes() for i in r])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, keys, vecs = None, [], []
-        for block, _, some, rows in _spans(batches):
-            if block != current and keys:
+        for slot, _, some, rows in _spans(batches):
+            if slot != current and keys:
                 yield from at_home(current, keys, np.concatenate(vecs))
                 keys, vecs = [], []
-            current = block
+            current = slot
             keys += some
             vecs.append(rows)
         if keys:
@@ -175,10 +179,9 @@ def links(source: Table, k: int = K, miss: float = MISS, leaf_rows: int = LEAF_R
             n = pa.Array.from_buffers(pa.binary(), len(near), [None, pa.py_buffer(np.arange(0, 16 * len(near) + 1, 16, dtype="<i4").tobytes()), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([q, n, pa.array(near["cos"])], ["q", "n", "cos"])
 
-    n = tasks(tree)
-    home = source.rows.select("raw").mapInArrow(route, ROUTED).repartition(n, "leaf", "part")
-    sent = home.sortWithinPartitions("leaf", "part", "role", "h").mapInArrow(first, ROUTED).repartition(n, "leaf", "part")
-    seen = home.groupBy("leaf", "part").cogroup(sent.groupBy("leaf", "part")).applyInArrow(second, "h binary, body binary")
+    home = source.rows.select("raw").mapInArrow(route, ROUTED).repartition(tree.tasks, "slot")
+    sent = home.sortWithinPartitions("slot", "h").mapInArrow(first, ROUTED).repartition(tree.tasks, "slot")
+    seen = home.groupBy("slot").cogroup(sent.groupBy("slot")).applyInArrow(second, "h binary, body binary")
     seen = seen.mapInArrow(unpacked, "q binary, n binary, cos double").where(F.col("cos") >= MIN_COS)
     # the two of a pair may have visited each other: no pair may take two places
     w = W.partitionBy("q").orderBy(F.desc("cos"), "n")
@@ -192,15 +195,19 @@ def similar_pairs(source: Table, k: int = K, miss: float = MISS, leaf_rows: int
     first, in order of their ids, then the members of the nearest other contents.
     Unusable vectors, and an empty table, give nothing.
     """
-    who = staged(members(source), "members")
+    who = members(source)
     smallest = who.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
-    # own copies are at place 0; k + 1 ids are enough for any member to find k others
-    own = smallest.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").join(smallest, "h").select(F.col("h").alias("q"), F.lit(0).alias("place"), F.lit(2.0).alias("cos"), F.col("id").alias("nid"))
-    near = links(source, k, miss, leaf_rows).join(smallest.where(F.col("r") <= k).withColumnRenamed("h", "n"), "n").select("q", "place", "cos", F.col("id").alias("nid"))
-    w = W.partitionBy("q").orderBy(F.desc("cos"), "nid")
-    lists = own.unionByName(near).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "nid"))).alias("near"))
-    ids = lists.join(who.withColumnRenamed("h", "q"), "q").select("id", F.expr(f"slice(filter(near, x -> x.nid != id), 1, {k})").alias("near"))
-    pairs = ids.select("id", F.explode("near.nid").alias("nid"))
+    copies = who.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # of k + 1 ids any member finds k others; an id after its own is one place nearer
+    twins = who.join(smallest.join(copies, "h", "left_semi").select("h", F.col("id").alias("nid"), "r"), "h")
+    own = twins.where((F.col("nid") != F.col("id")) & (F.col("r") - (F.col("nid") > F.col("id")).cast("int") <= k)).select("id", "nid")
+    # places left after a vector's own copies and the copies of nearer contents
+    near = links(source, k, miss, leaf_rows).join(copies.select(F.col("h").alias("n"), "c"), "n", "left").join(copies.select(F.col("h").alias("q"), F.col("c").alias("mine")), "q", "left")
+    nearer = F.sum(F.coalesce("c", F.lit(1))).over(W.partitionBy("q").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    near = near.select("q", "n", (F.lit(k + 1) - F.coalesce("mine", F.lit(1)) - F.coalesce(nearer, F.lit(0))).alias("room")).where("room > 0")
+    near = near.join(who.select(F.col("h").alias("q"), "id"), "q").select("id", "n", "room")
+    near = near.join(smallest.select(F.col("h").alias("n"), F.col("id").alias("nid"), "r"), "n").where(F.col("r") <= F.col("room")).select("id", "nid")
+    pairs = own.unionByName(near)
     return pairs.select(F.least("id", "nid").alias("id_a"), F.greatest("id", "nid").alias("id_b")).distinct()
 
 

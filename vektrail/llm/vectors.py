@@ -35,7 +35,8 @@ MOST_LEAVES = 1 << 18  # bounds the sample to 2 M projected rows; beyond it leav
 DIRECTIONS = 16
 MISS = 0.05
 SMALL_ROWS = 200_000  # rows of three numbers that may be broadcast
-ROUTED = "leaf int, part int, role int, h binary, body binary"
+ROUTED = "slot int, role int, h binary, body binary"
+TASKS = 4_096  # of a search, at most; beyond it a task has several blocks
 
 
 @dataclass(frozen=True)
@@ -197,6 +198,31 @@ class Tree:
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(far)
 
 
+    @property
+    def tasks(self) -> int:
+        return int(min(self.blocks.sum(), TASKS))
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of each block, first block of each leaf): the keys by which Spark's hash deals the blocks evenly to ``tasks``."""
+        total, want = int(self.blocks.sum()), self.tasks
+        key = np.arange(64 * total + 256)
+        part = spark_hash(key) % want
+        order = np.lexsort((key, part))
+        turn = np.arange(len(key)) - np.searchsorted(part[order], part[order])
+        taken = order[np.lexsort((part[order], turn))][:total]  # the first key of each task, then the second
+        return key[taken], np.concatenate([[0], np.cumsum(self.blocks)[:-1]])
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's Murmur3 hash of int columns, seed 42, as signed 32-bit numbers."""
+    u, turn = np.uint32, lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    h = u(42) ^ (turn(x.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593))
+    h = (turn(h, 13) * u(5) + u(0xE6546B64)) ^ u(4)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
 def fit_tree(source: Table, miss: float = MISS, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Tree:
     """The tree over a bounded hash sample of the rows; every row is indexed later.
 
@@ -246,35 +272,30 @@ def _fresh(raw: pa.Array, seen: set[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return unit(rows[fresh]), [keys[i] for i in fresh]
 
 
-def _routed(leaf, part, role, keys: list[bytes], bodies: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), pa.array(role, pa.int32()), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["leaf", "part", "role", "h", "body"])
+def _routed(slot, role, keys: list[bytes], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(role, pa.int32()), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["slot", "role", "h", "body"])
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, list[bytes], np.ndarray]]:
-    """(block, role, keys, vectors) of runs of rows sorted by (leaf, part, role, h); repeated rows come once."""
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
+    """(slot, role, keys, vectors) of runs of rows sorted by (slot, role, h); repeated rows come once."""
     last = None
     for b in batches:
-        leaf, part, role = (b.column(i).to_numpy() for i in range(3))
-        keys = b.column(3).to_pylist()
-        vecs = np.frombuffer(b"".join(b.column(4).to_pylist()), "<f4").reshape(-1, DIM)
-        edge = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0) | (np.diff(role) != 0)) + 1
-        for lo, hi in zip([0, *edge], [*edge, len(leaf)], strict=True):
-            block, keep = (int(leaf[lo]), int(part[lo])) if hi > lo else None, []
+        slot, role = b.column(0).to_numpy(), b.column(1).to_numpy()
+        keys = b.column(2).to_pylist()
+        vecs = np.frombuffer(b"".join(b.column(3).to_pylist()), "<f4").reshape(-1, DIM)
+        edge = np.flatnonzero((np.diff(slot) != 0) | (np.diff(role) != 0)) + 1
+        for lo, hi in zip([0, *edge], [*edge, len(slot)], strict=True):
+            keep = []
             for i in range(lo, hi):
-                now = (block, role[i], keys[i])
+                now = (slot[i], role[i], keys[i])
                 if now != last:
                     keep.append(i)
                 last = now
             if keep:
-                yield block, int(role[lo]), [keys[i] for i in keep], vecs[keep]
-
-
-def tasks(tree: Tree) -> int:
-    """Reduce tasks of a search: by hash, twice as many as blocks, so that few blocks share one."""
-    return int(max(1, min(2 * tree.blocks.sum(), 4_096)))
+                yield int(slot[lo]), int(role[lo]), [keys[i] for i in keep], vecs[keep]
 
 
-def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int, int], LeafKernel], schema: str, d2: float) -> DataFrame:
+def visit_leaves(source: Table, tree: Tree, kernel: Callable[[], LeafKernel], schema: str, d2: float) -> DataFrame:
     """Route every vector to its leaf and to the leaves it visits at one radius, and run a kernel per leaf.
 
     Identical vectors are merged on the map side and again as they arrive, sorted, in
@@ -289,6 +310,7 @@ def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int, int], LeafKer
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         tree = shared.value
+        slots, start = tree.slots()
         for b in batches:
             rows, keys = _fresh(b.column(0), seen)
             y = rows @ tree.directions
@@ -297,25 +319,28 @@ def visit_leaves(source: Table, tree: Tree, kernel: Callable[[int, int], LeafKer
             mine = (own[row] < leaf) == ((own[row] + leaf) % 2 == 0)
             row, leaf = row[mine], leaf[mine]
             blobs = [r.tobytes() for r in rows]
-            home = [(i, int(k), p) for i, k in enumerate(own) for p in range(tree.blocks[k])]
-            who = [i for i, _, _ in home] + row.tolist()
-            part = [keys[i][0] % int(tree.blocks[k]) for i, k in zip(row, leaf, strict=True)]
-            yield _routed([k for _, k, _ in home] + leaf.tolist(), [p for _, _, p in home] + part, [0] * len(home) + [1] * len(row), [keys[i] for i in who], [blobs[i] for i in who])
+            n = tree.blocks[own]
+            home = np.repeat(np.arange(len(own)), n)
+            part = np.arange(len(home)) - np.repeat(np.cumsum(n) - n, n)
+            dealt = np.array([keys[i][0] for i in row], np.int64) % tree.blocks[leaf]
+            who = np.concatenate([home, row])
+            slot = slots[np.concatenate([start[own[home]] + part, start[leaf] + dealt])]
+            yield _routed(slot, np.repeat([0, 1], [len(home), len(row)]), [keys[i] for i in who], [blobs[i] for i in who])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for block, role, keys, vecs in _spans(batches):
-            if current != block:
+        for slot, role, keys, vecs in _spans(batches):
+            if current != slot:
                 if state is not None:
                     yield from state.end()
-                current, state = block, kernel(*block)
+                current, state = slot, kernel()
             keys = np.array(keys, dtype=object)
             state.add(keys, vecs) if role == 0 else (yield from state.visit(keys, vecs))
         if state is not None:
             yield from state.end()
 
     routed = source.rows.select("raw").mapInArrow(route, ROUTED)
-    return routed.repartition(tasks(tree), "leaf", "part").sortWithinPartitions("leaf", "part", "role", "h").mapInArrow(work, schema)
+    return routed.repartition(tree.tasks, "slot").sortWithinPartitions("slot", "role", "h").mapInArrow(work, schema)
 
 
 class LeafKernel:
@@ -323,9 +348,7 @@ class LeafKernel:
 
     BLOCK = 256
 
-    def __init__(self, leaf: int, part: int):
-        self.leaf = leaf
-        self.first = part == 0  # the part that reports the pairs among the leaf's own rows
+    def __init__(self):
         self.keys: list[np.ndarray] = []
         self.vecs: list[np.ndarray] = []
         self.ready = False
