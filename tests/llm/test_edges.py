@@ -43,6 +43,28 @@ def test_fusion_absent_item_stands_last_and_ties_go_by_id(spark):
     assert [r.id for r in one] == ["p", "q"] and one[0].score == one[1].score
 
 
+def test_fusion_far_scores_and_absent_items_keep_their_order(spark):
+    """Scores far above a tight list stay apart, and an absent item stands behind the last one of a list with an outlier."""
+    tight = [(1, "a", f"t{i}", 1.0 + i * 1e-3, None) for i in range(9)]
+    got = [r.id for r in fusion.ranked(hits(spark, [*tight, (1, "a", "z9", 9.0, None), (1, "a", "m5", 5.0, None)]), sides(spark)).orderBy("place").collect()]
+    assert got[:2] == ["z9", "m5"]
+    rows = [*tight, (1, "a", "worst", -1e5, None)] + [(1, "c", i, 1.0, None) for i in ("worst", "lone")]
+    got = [r.id for r in fusion.ranked(hits(spark, rows), sides(spark)).orderBy("place").collect()]
+    assert got.index("worst") < got.index("lone")
+
+
+def test_fusion_repeated_hits_of_a_falling_side_take_the_better_score(spark):
+    rows = [(1, "b", "x", 0.1, 1), (1, "b", "x", 0.9, 1), (1, "b", "y", 0.5, 2)]
+    assert [r.id for r in fusion.ranked(hits(spark, rows), sides(spark)).orderBy("place").collect()] == ["x", "y"]
+
+
+def test_fusion_places_of_a_long_query(spark):
+    rows = hits(spark, [(1, "a", f"i{i:04d}", float(i // 3), None) for i in range(900)])
+    got = fusion.ranked(rows, sides(spark)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 901))
+    assert [r.id for r in got] == [f"i{i:04d}" for i in sorted(range(900), key=lambda i: (-(i // 3), i))]
+
+
 def test_fusion_fills_across_rank_buckets(spark):
     known = [(1, "a", f"k{i:05d}", float(-i), i) for i in (0, 4_095, 4_096, 9_000)]
     rows = hits(spark, [*known, (1, "a", "hole", None, 6_548), (1, "a", "end", None, 9_500), (1, "a", "edge", None, 4_095)])

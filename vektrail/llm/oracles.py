@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-P1 = """
+_P1 = """
 WITH d AS (SELECT side, max(CASE WHEN higher_is_better THEN 1.0 ELSE -1.0 END)::DOUBLE AS sign FROM sides GROUP BY side),
-h0 AS (SELECT query_id, side, id, max(CASE WHEN isfinite(score) THEN score END) AS score, min(rank)::DOUBLE AS rank FROM hits GROUP BY query_id, side, id),
-h AS (SELECT h0.query_id, h0.side, id, score * coalesce(sign, 1.0) AS s, rank FROM h0 LEFT JOIN d ON d.side = h0.side WHERE score IS NOT NULL OR rank IS NOT NULL),
+h AS (SELECT query_id, h0.side, id, max(CASE WHEN isfinite(score) THEN score END * coalesce(sign, 1.0)) AS s, min(rank)::DOUBLE AS rank FROM hits h0 LEFT JOIN d ON d.side = h0.side GROUP BY query_id, h0.side, id
+  HAVING s IS NOT NULL OR min(rank) IS NOT NULL),
 known AS (SELECT * FROM h WHERE s IS NOT NULL AND rank IS NOT NULL),
 below AS (SELECT m.query_id, m.side, m.id, max(k.rank) AS rank, arg_max(k.s, (k.rank, k.s)) AS s FROM h m JOIN known k ON k.query_id = m.query_id AND k.side = m.side AND k.rank <= m.rank WHERE m.s IS NULL GROUP BY ALL),
 above AS (SELECT m.query_id, m.side, m.id, min(k.rank) AS rank, arg_min(k.s, (k.rank, k.s)) AS s FROM h m JOIN known k ON k.query_id = m.query_id AND k.side = m.side AND k.rank >= m.rank WHERE m.s IS NULL GROUP BY ALL),
@@ -14,13 +14,18 @@ f AS (SELECT h.query_id, h.side, h.id, coalesce(h.s, CASE WHEN a.rank > b.rank T
 m AS (SELECT query_id, side, quantile_disc(s, 0.5) AS med, min(s) AS worst FROM f GROUP BY query_id, side),
 u AS (SELECT f.query_id, f.side, quantile_disc(abs(s - med), 0.5) * 1.4826 AS mad, avg(abs(s - med)) AS off FROM f JOIN m ON m.query_id = f.query_id AND m.side = f.side GROUP BY f.query_id, f.side),
 l AS (SELECT m.query_id, m.side, med, CASE WHEN mad > 0 THEN mad WHEN off > 0 THEN off ELSE 1.0 END AS unit, worst FROM m JOIN u ON u.query_id = m.query_id AND u.side = m.side),
-b AS (SELECT query_id, side, med, unit, -ln(1 + exp(-greatest(least((worst - med) / unit - 1, 30), -30))) AS low FROM l),
-g AS (SELECT f.query_id, f.id, sum(-ln(1 + exp(-greatest(least((s - med) / unit, 30), -30))) - low) AS gain FROM f JOIN b ON b.query_id = f.query_id AND b.side = f.side GROUP BY f.query_id, f.id),
-w AS (SELECT query_id, sum(low) AS base, count(*) AS sides FROM b GROUP BY query_id),
-r AS (SELECT g.query_id, g.id, row_number() OVER (PARTITION BY g.query_id ORDER BY round(exp((gain + base) / sides), 9) DESC, g.id) AS place FROM g JOIN w ON w.query_id = g.query_id)
-SELECT query_id, id FROM r WHERE place <= 5
+z AS (SELECT query_id, side, med, unit, greatest(least((worst - med) / unit, 1e9), -1e9) - 1 AS last FROM l),
+b AS (SELECT *, -(greatest(-last, 0) + ln(1 + exp(-abs(last)))) AS floor FROM z),
+x AS (SELECT f.query_id, f.id, greatest(least((s - med) / unit, 1e9), -1e9) AS z, floor, last FROM f JOIN b ON b.query_id = f.query_id AND b.side = f.side),
+g AS (SELECT query_id, id, count(*) AS n, sum(-(greatest(-z, 0) + ln(1 + exp(-abs(z))))) AS log, sum(z) AS z, sum(floor) AS floor, sum(last) AS last FROM x GROUP BY query_id, id),
+w AS (SELECT query_id, sum(floor) AS floors, sum(last) AS lasts, count(*) AS sides FROM b GROUP BY query_id),
+o AS (SELECT g.query_id, g.id, (log + CASE WHEN n = sides THEN 0 ELSE floors - floor END) / sides AS mean, (z + CASE WHEN n = sides THEN 0 ELSE lasts - last END) / sides AS z FROM g JOIN w ON w.query_id = g.query_id),
+r AS (SELECT query_id, id, round(exp(mean), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(-mean, 12), round(z, 6) DESC, id) AS place FROM o)
 """
 
+P1 = f"{_P1} SELECT query_id, id FROM r WHERE place <= 5"
+P1_RANKING = f"{_P1} SELECT query_id, id, score, place FROM r"
+
 # the bits of a little-endian 32-bit float, from eight hex digits
 _WORD = "('0x' || substr(x, 8 * i + 7, 2) || substr(x, 8 * i + 5, 2) || substr(x, 8 * i + 3, 2) || substr(x, 8 * i + 1, 2))::BIGINT"
 _FLOAT = "(CASE WHEN w >= 2147483648 THEN -1 ELSE 1 END) * (CASE WHEN (w >> 23) & 255 = 255 THEN 'nan'::DOUBLE WHEN (w >> 23) & 255 = 0 THEN (w & 8388607) * pow(2::DOUBLE, -149) ELSE (8388608 + (w & 8388607)) * pow(2::DOUBLE, ((w >> 23) & 255) - 150) END)"
@@ -59,4 +64,4 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 SELECT a AS doc_a, b AS doc_b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o >= 0.5 * (x.n + y.n - o)
 """
 
-ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_clusters": P4_CLUSTERS, "p5_found": P5}
+ORACLES = {"p1_found": P1, "p1_ranking": P1_RANKING, "p3_found": P3, "p4_found": P4, "p4_clusters": P4_CLUSTERS, "p5_found": P5}
