@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vektrail.llm.vectors import DIM, LEAF_ROWS, MIN_COS, MISS, ROUTED, Table, _fresh, _routed, _spans, fit_tree, members, tables
+from vektrail.session import staged
 
 K = 5
 BLOCK = 256
@@ -195,12 +196,13 @@ def similar_pairs(source: Table, k: int = K, miss: float = MISS, leaf_rows: int
     first, in order of their ids, then the members of the nearest other contents.
     Unusable vectors, and an empty table, give nothing.
     """
-    who = members(source)
+    who = staged(members(source), "members")
     smallest = who.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
-    copies = who.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # written, so that the planner knows their size before anything is moved to meet them
+    copies = staged(who.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "copies")
+    first = staged(smallest.join(copies, "h", "left_semi").select("h", F.col("id").alias("nid"), "r"), "first")
     # of k + 1 ids any member finds k others; an id after its own is one place nearer
-    twins = who.join(smallest.join(copies, "h", "left_semi").select("h", F.col("id").alias("nid"), "r"), "h")
-    own = twins.where((F.col("nid") != F.col("id")) & (F.col("r") - (F.col("nid") > F.col("id")).cast("int") <= k)).select("id", "nid")
+    own = who.join(first, "h").where((F.col("nid") != F.col("id")) & (F.col("r") - (F.col("nid") > F.col("id")).cast("int") <= k)).select("id", "nid")
     # places left after a vector's own copies and the copies of nearer contents
     near = links(source, k, miss, leaf_rows).join(copies.select(F.col("h").alias("n"), "c"), "n", "left").join(copies.select(F.col("h").alias("q"), F.col("c").alias("mine")), "q", "left")
     nearer = F.sum(F.coalesce("c", F.lit(1))).over(W.partitionBy("q").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
