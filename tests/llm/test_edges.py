@@ -256,19 +256,51 @@ def test_mixing_edges(spark):
     shares = {s.source: s for s in mixing.plan(sizes, targets, blocks=64)}
     assert set(shares) == {"Big", "small", "gone"} and not shares["Big"].short and shares["small"].short and shares["gone"].short
     mix = mixing.mixed(sizes, list(shares.values())).collect()
+    blocks = {}
+    for r in mixing.in_blocks(sizes, list(shares.values())).collect():
+        blocks[r.key, r.block] = blocks.get((r.key, r.block), 0) + r.tokens
+    assert all(abs(n - shares["Big"].size) <= 5 for (k, b), n in blocks.items() if k == "big" and b < shares["Big"].blocks - 1)
     assert mix and all(1 <= r.copies <= 2 for r in mix) and {r.source for r in mix} == {"Big", "small"}
 
 
+def tongues(spark):
+    english = "the cat sat on the mat and we saw it run to the red door while you were reading about the old house. " * 3
+    german = "der Hund und die Katze sind in dem Haus mit der Maus und sie schlafen nicht auf dem Tisch. " * 3
+    english += "An idiosyncratic transformation of the parameter undermines heterogeneous convergence and the epistemological terms. " * 3
+    rows = [(100 + i, english if i % 2 else german, "en-US" if i % 2 else " DE") for i in range(12)]
+    rows += [(200, german, "en"), (201, english, "und"), (202, None, "en"), (203, "", "en"), (None, english, "en")]  # a wrong label, and rows that say nothing
+    return reading.train_tongues(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 def test_reading_levels(spark):
     plain = "the cat sat on the mat and we saw it run to the red door. " * 6
     hard = "the epistemological heterogeneity of an idiosyncratic parameterisation undermines the convergence of the transformation. " * 6
     labels = spark.createDataFrame([(1, "plain"), (1, "plain"), (2, "expert"), (3, "plain"), (3, "expert"), (None, "plain"), (4, None)], "doc_id long, band string")
-    rows = [(1, plain, "a"), (2, hard, "a"), (3, plain, "a"), (4, hard, "a"), (5, None, "a"), (6, "", "a"), (7, "short text", "a"), (8, "der Hund und die Katze sind in dem Haus mit der Maus und sie " * 9, "a"), (9, plain * 800, "a")]
+    rows = [(1, plain, "a"), (2, hard, "a"), (3, plain, "a"), (4, hard, "a"), (5, None, "a"), (6, "", "a"), (7, "short text", "a"), (8, "der Hund und die Katze sind in dem Haus mit der Maus und sie schlafen nicht " * 9, "a"), (9, plain * 800, "a")]
     table = docs(spark, rows)
-    got = {r.doc_id: r.band for r in reading.levelled(table, reading.train(table, labels)).collect()}
+    model = tongues(spark)
+    got = {r.doc_id: r.band for r in reading.levelled(table, reading.train(table, labels), model).collect()}
     assert got == {1: "plain", 2: "expert", 3: "plain", 4: "expert", 9: "plain"}
     empty = reading.train(table, labels.where("false"))
-    assert reading.levelled(table, empty).count() == 0 and reading.levelled(docs(spark, []), reading.train(table, labels)).count() == 0
+    assert reading.levelled(table, empty, model).count() == 0 and reading.levelled(docs(spark, []), reading.train(table, labels), model).count() == 0
+    assert reading.levelled(table, reading.train(table, labels), None).count() == 0
+
+
+def test_posterior_has_priors_and_unseen_words():
+    model = reading.Levels(("a", "b"), {"x": (math.log(0.2), math.log(0.1))}, (math.log(0.1), math.log(0.9)), (math.log(0.01), math.log(0.02)))
+    p = model.posterior("x x new")
+    want = np.array([0.1 * 0.2 * 0.2 * 0.01, 0.9 * 0.1 * 0.1 * 0.02])
+    assert np.allclose(p, want / want.sum()) and math.isclose(model.posterior("x x x. new new new.").sum(), 1.0)
+
+
+def test_languages_by_trigrams(spark):
+    """A wrong label does not matter; a language that no label names is not taken for English."""
+    model = tongues(spark)
+    assert model.names == ("en", "de")
+    assert model.is_english("We saw the old cat on the red mat. It ran to the door of the house.")
+    assert not model.is_english("Die Maus und der Hund schlafen in dem Haus auf dem Tisch.")
+    assert not model.is_english("Ktoś wziął żółtą książkę źle, gdyż świerszcz ćwierkał.")
+    assert reading.train_tongues(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
 
 
 def dense_rows(n):

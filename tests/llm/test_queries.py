@@ -75,10 +75,21 @@ def test_levels_agree_with_held_out_labels(spark):
     from vektrail.llm import reading
 
     folder = "/root/testdata/sf0.1"
-    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{folder}/reading_labels.parquet").distinct()
     held = F.col("doc_id") % 3 == 0
     model = reading.train(docs, labels.where(~held))
-    got = reading.levelled(docs.join(labels.where(held).select("doc_id"), "doc_id"), model)
+    got = reading.levelled(docs.join(labels.where(held).select("doc_id"), "doc_id"), model, reading.train_tongues(docs))
     both = labels.where(held).withColumnRenamed("band", "want").join(got, "doc_id")
     assert both.count() > 80 and both.where("band = want").count() / both.count() > 0.88
+
+
+def test_shares_of_the_mix_reach_their_targets(spark):
+    """Sources that are not short get their weight of the tokens that all of these get, within a block and a document."""
+    from vektrail.llm import mixing
+
+    rows = QUERIES["p7_report"](spark, "/root/testdata/sf0.1").collect()
+    full = [r for r in rows if not r.short]
+    tokens, weights = sum(r.tokens for r in full), sum(r.weight for r in full)
+    grain = sum(r.own_tokens for r in rows) / mixing.BLOCKS
+    assert all(abs(r.tokens - tokens * r.weight / weights) <= 3 * grain for r in full), [(r.source, (r.tokens - tokens * r.weight / weights) / grain) for r in full]

@@ -2,9 +2,14 @@
 
 Method: Sainte-Laguë apportionment. The mix is a number of blocks of equal size in
 tokens. Blocks go one by one to the source with the highest quotient
-weight / (2 * blocks so far + 1), up to what the source can give with its repeats.
-The quota of a source is apportioned to shards in the same way, and each shard
-selects its blocks in a seeded order.
+weight / (2 * blocks so far + 1), up to what the source can give with its repeats; a
+source whose quota is cut off by that falls short. The quota of a source is
+apportioned to shards in the same way, and each shard selects its blocks in a seeded
+order.
+
+The documents of a source lie in a seeded order, and blocks are cut at equal numbers
+of running tokens; a document belongs to the block in which its middle token lies, so
+a block misses its size by less than a document.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vektrail.llm.encode import token_counts
@@ -22,6 +28,7 @@ from vektrail.session import staged, table
 
 BLOCKS = 2_048  # of the whole mix; bounds what the driver plans
 SHARDS = 8
+LANES = 256  # of a source, over which its documents are spread while tokens are summed up
 SEED = 20_260
 
 
@@ -53,13 +60,15 @@ class Share:
     max_repeats: int
     tokens: int  # the source's own
     wanted: float
-    blocks: int  # the source is cut into so many
+    blocks: int  # the source is cut into so many, each of ``size`` tokens but for the last
     quota: int
+    limit: int  # whole blocks the source can give with its repeats
+    size: int  # tokens of a block
 
     @property
     def short(self) -> bool:
-        """Own tokens with all repeats are fewer than the share; exact in tokens, not in blocks."""
-        return self.tokens * self.max_repeats < self.wanted * (1 - 1e-12)
+        """The apportionment stopped at what the source can give, and its share in tokens is more than that."""
+        return self.quota >= self.limit and self.tokens * self.max_repeats < self.wanted * (1 - 1e-12)
 
 
 def sized(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -82,10 +91,11 @@ def plan(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> list[Sha
             wanted.setdefault(r.source.strip().lower(), (r.source, float(r.weight), int(r.max_repeats)))
     total = sum(own.get(k) or 0 for k in wanted)
     size = max(1, total // blocks)
-    pieces = {k: max(1, round((own.get(k) or 0) / size)) if own.get(k) else 0 for k in wanted}
+    pieces = {k: -(-(own.get(k) or 0) // size) for k in wanted}
     keys = sorted(wanted)
-    quotas = sainte_lague([wanted[k][1] for k in keys], total // size if total else 0, [pieces[k] * wanted[k][2] for k in keys])
-    return [Share(wanted[k][0], k, wanted[k][1], wanted[k][2], own.get(k) or 0, wanted[k][1] * total, pieces[k], q) for k, q in zip(keys, quotas, strict=True)]
+    limits = [(own.get(k) or 0) * wanted[k][2] // size for k in keys]
+    quotas = sainte_lague([wanted[k][1] for k in keys], total // size if total else 0, limits)
+    return [Share(wanted[k][0], k, wanted[k][1], wanted[k][2], own.get(k) or 0, wanted[k][1] * total, pieces[k], q, m, size) for k, q, m in zip(keys, quotas, limits, strict=True)]
 
 
 def block_copies(shares: Sequence[Share], shards: int = SHARDS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
@@ -103,17 +113,33 @@ def block_copies(shares: Sequence[Share], shards: int = SHARDS, seed: int = SEED
     return out
 
 
-def mixed(sizes: DataFrame, shares: Sequence[Share], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, shard, copies, tokens): the mix, one row per document that is used.
+def in_blocks(sizes: DataFrame, shares: Sequence[Share], seed: int = SEED) -> DataFrame:
+    """(doc_id, key, tokens, block): every document in the block of its middle token.
 
-    A document belongs to one block of its source by a seeded hash, so no source is
-    gathered in one task.
+    Documents of a source are dealt by hash to ``LANES`` lanes and ordered by hash within
+    them; a lane begins where the one before ends. Sums run within a lane, so no source
+    is gathered in one task.
     """
     spark = sizes.sparkSession
-    cut = spark.createDataFrame([(s.key, s.source, s.blocks) for s in shares if s.blocks], "key string, source string, blocks int")
+    cut = spark.createDataFrame([(s.key, s.size, s.blocks) for s in shares if s.blocks], "key string, size long, blocks int")
+    code = F.xxhash64("doc_id", F.lit(seed))
+    rows = sizes.join(F.broadcast(cut), "key").withColumn("lane", F.pmod(code, F.lit(LANES)).cast("int"))  # one row per source
+    ends = rows.groupBy("key", "lane").agg(F.sum("tokens").alias("all"))
+    before = F.sum("all").over(W.partitionBy("key").orderBy("lane").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("key", "lane", F.coalesce(before, F.lit(0)).alias("before"))
+    so_far = F.sum("tokens").over(W.partitionBy("key", "lane").orderBy(code, "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("end", so_far).join(ends, ["key", "lane"])
+    middle = F.col("before") + F.col("end") - F.col("tokens") / 2
+    return rows.select("doc_id", "key", "tokens", F.least(F.floor(middle / F.col("size")), F.col("blocks") - 1).cast("int").alias("block"))
+
+
+def mixed(sizes: DataFrame, shares: Sequence[Share], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, shard, copies, tokens): the mix, one row per document that is used."""
+    spark = sizes.sparkSession
+    names = spark.createDataFrame([(s.key, s.source) for s in shares], "key string, source string")
     chosen = spark.createDataFrame(block_copies(shares, shards, seed), "key string, block int, shard int, copies int")
-    placed = sizes.join(cut, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
-    return placed.join(chosen, ["key", "block"]).select("doc_id", "source", "shard", "copies", "tokens")
+    placed = in_blocks(sizes, shares, seed).join(F.broadcast(names), "key")  # one row per source
+    return placed.join(F.broadcast(chosen), ["key", "block"]).select("doc_id", "source", "shard", "copies", "tokens")  # bounded by BLOCKS
 
 
 def _start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,17 @@
 """Reading level of each document.
 
 Method: one smoothed unigram language model per level, trained on the labelled
-documents. Every sentence gets the level of highest posterior likelihood; a document
-gets the level with the largest share of its sentences and words, so that a few
-sentences in another register do not decide.
+documents, with the share of a level among them as its prior; words that no label has
+count by the smoothing. Every sentence has a posterior over the levels. The posterior
+of a document is the mean of those of its sentences, that is of a sentence drawn from
+it, so that one long sentence in another register does not decide. The document gets
+the level of highest posterior.
+
+Whether a text is English is decided by a model too: character trigrams of each
+sentence, English against every other language of ``lang``. It is trained on a bounded
+sample of the corpus by its own, partly wrong, lang labels: first by the labels, then
+once more by what the first model says of each sentence. A sentence that is much less
+likely under the English model than English sentences are is in none of the languages.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vektrail.session import table
@@ -27,13 +36,11 @@ WORD = re.compile(r"[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 OTHER_KINDS = ("code_chunks", "query_log")
-# fixed values: frequent function words of English and of the other languages of the corpus
-ENGLISH = frozenset("a about after all an and any are as at be because before but by can did each every for from had has have he if in into is it its my not of on once one or our over she so some such than that the their them then these they this to under until was we were when which while with you your".split())
-OTHERS = (
-    frozenset("aber als am auf aus bei bis das dass dem den der des die doch ein eine einem einen einer eines er es für hat ich im in ist kein mit nach nicht noch oder schon sie sind sobald solange um und unser vom von vor war was weil wenn wer wie wir zu zum zur".split()),
-    frozenset("au aux avec ce ces cette dans de des dont du elle en est et il ils je la le les leur lorsque mais ne nos notre nous on ou où par pas plus pour puis quand que qui sa sans se ses si son sont sur un une vos votre vous".split()),
-    frozenset("al aunque como con cuando de del desde donde el ella en entre es esta este hasta la las lo los mientras más no nuestra nuestro o para pero por porque que se si sin sobre su sus también un una unas unos y ya".split()),
-)
+MAX_TONGUE_DOCS = 1_500  # documents of each language the trigram model is trained on, at most
+LEAST_TONGUE_DOCS = 3  # of a language, to have a model
+SLOTS = 1 << 15  # hashed trigrams
+FAR = 2.0  # log likelihood per trigram by which a sentence may lie under the mean of English ones
+SHORT = 3  # words; shorter sentences count only in texts that have no longer one
 
 
 def _pieces(text: str) -> list[list[str]]:
@@ -45,13 +52,78 @@ def _pieces(text: str) -> list[list[str]]:
     return out
 
 
-def is_english(words: list[str]) -> bool:
-    """Mainly English: function words of English are frequent enough and outnumber every other language's."""
-    if not words:
-        return False
-    mine = sum(w in ENGLISH for w in words)
-    rest = max(sum(w in s and w not in ENGLISH for w in words) for s in OTHERS)
-    return mine >= 0.08 * len(words) and mine > rest
+def trigrams(words: list[str]) -> np.ndarray:
+    """Hashed character trigrams of a sentence, with the borders of its words."""
+    c = np.frombuffer(f"  {' '.join(words)} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+    h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA6B)) ^ (c[2:] * np.uint32(0xC2B2AE35))
+    return ((h ^ (h >> np.uint32(15))) % np.uint32(SLOTS)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Tongues:
+    """Log likelihoods of trigrams by language, English first, and the mean of a trigram in English sentences."""
+
+    names: tuple[str, ...]
+    table: np.ndarray
+    mean: float
+
+    def best(self, words: list[str]) -> int:
+        """Position of the most likely language of a sentence; -1 if it is too far even from English."""
+        got = self.table[:, trigrams(words)].mean(1)
+        top = int(got.argmax())
+        return -1 if top == 0 and got[0] < self.mean - FAR else top
+
+    def is_english(self, text: str) -> bool:
+        """More than half of the words stand in English sentences."""
+        mine = every = 0
+        for part in _pieces(text):
+            every += len(part)
+            mine += len(part) * (self.best(part) == 0)
+        return 2 * mine > every
+
+
+def train_tongues(docs: DataFrame, most: int = MAX_TONGUE_DOCS) -> Tongues | None:
+    """The trigram models of English and of every other language that ``lang`` names often enough; None without English.
+
+    docs has doc_id, lang and text. The first two letters of lang, trimmed and in lower
+    case, name the language. At most ``most`` documents of each, in hash order.
+    """
+    named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2})($|[-_])", 1).alias("tongue")).where("tongue <> ''")
+    first = W.partitionBy("tongue").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = named.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("doc_id", "tongue").distinct()
+    sizes = {r.tongue: r["count"] for r in picked.groupBy("tongue").count().collect()}  # one row per language
+    names = ("en", *sorted(k for k, n in sizes.items() if k != "en" and n >= LEAST_TONGUE_DOCS))
+    if not sizes.get("en"):
+        return None
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked.where(F.col("tongue").isin(*names))), "doc_id").select("text", "tongue")  # at most ``most`` of each
+
+    def counted(model: Tongues | None) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((len(names), SLOTS))
+            like = np.zeros(2)  # of English sentences: trigrams and the sum of their log likelihoods
+            for b in batches:
+                for raw, tongue in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for part in _pieces(raw.decode("utf-8", "replace")):
+                        slots = trigrams(part)
+                        at = names.index(tongue) if model is None else model.best(part)
+                        seen[at] += np.bincount(slots, minlength=SLOTS)
+                        if model is not None and at == 0:
+                            like += len(slots), model.table[0, slots].sum()
+            for i, row in enumerate([*seen, like]):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["i", "counts"])
+
+        out = [np.zeros(SLOTS) for _ in names] + [np.zeros(2)]
+        # one row per language and task: a table of fixed size
+        for r in rows.mapInArrow(run, "i int, counts binary").toLocalIterator():
+            out[r.i] = out[r.i] + np.frombuffer(r.counts)
+        return np.stack(out[:-1]), out[-1]
+
+    def model_of(counts: np.ndarray, mean: float) -> Tongues:
+        return Tongues(names, np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * SLOTS)).astype("f4"), mean)
+
+    model = model_of(counted(None)[0], -math.inf)
+    counts, (n, total) = counted(model)
+    return model_of(counts, total / max(1.0, n))
 
 
 @dataclass(frozen=True)
@@ -61,22 +133,20 @@ class Levels:
     names: tuple[str, ...]
     words: dict[str, tuple[float, ...]]
     prior: tuple[float, ...]
+    unseen: tuple[float, ...]
 
-    def shares(self, text: str) -> np.ndarray:
-        """Mean of the share of sentences and of words of each level."""
-        sentences, words = np.zeros(len(self.names)), np.zeros(len(self.names))
+    def posterior(self, text: str) -> np.ndarray:
+        """Mean posterior of the text's sentences."""
+        total = {True: np.zeros(len(self.names)), False: np.zeros(len(self.names))}
         for part in _pieces(text):
-            known = [self.words[w] for w in part if w in self.words]
-            if not known:
-                continue
-            best = int((np.array(self.prior) + np.array(known).sum(0)).argmax())
-            words[best] += len(part)
-            if len(part) >= 3:
-                sentences[best] += 1
-        return (sentences / max(1.0, sentences.sum()) + words / max(1.0, words.sum())) / 2
+            x = np.array([self.prior, *[self.words.get(w, self.unseen) for w in part]]).sum(0)
+            x = np.exp(x - x.max())
+            total[len(part) >= SHORT] += x / x.sum()
+        got = total[True] if total[True].any() else total[False]
+        return got / max(1e-300, got.sum())
 
     def level(self, text: str) -> str:
-        return self.names[int(self.shares(text).argmax())]
+        return self.names[int(self.posterior(text).argmax())]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, smoothing: float = SMOOTHING) -> Levels:
@@ -88,7 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, smoo
     one = labels.where(F.col("doc_id").isNotNull() & F.col("band").isNotNull()).groupBy("doc_id").agg(F.min("band").alias("band"), F.max("band").alias("other")).where("band = other")
     # at most max_labels rows of two short fields, so the texts need not move
     one = one.select("doc_id", "band").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    words = docs.join(F.broadcast(one), "doc_id").select("band", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word"))
+    found = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")
+    prior = {r.band: r["count"] for r in found.groupBy("band").count().collect()}  # one row per level
+    words = found.select("band", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word"))
     counts = words.groupBy("band", "word").count().collect()
     names = tuple(sorted({r.band for r in counts}))
     total = {n: sum(r["count"] for r in counts if r.band == n) for n in names}
@@ -97,25 +169,25 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, smoo
         seen.setdefault(r.word, {})[r.band] = r["count"]
     size = len(seen) + 1
     table_ = {w: tuple(math.log((c.get(n, 0) + smoothing) / (total[n] + smoothing * size)) for n in names) for w, c in seen.items()}
-    return Levels(names, table_, tuple(0.0 for _ in names))
+    return Levels(names, table_, tuple(math.log(prior[n] / sum(prior.values())) for n in names), tuple(math.log(smoothing / (total[n] + smoothing * size)) for n in names))
 
 
-def levelled(docs: DataFrame, model: Levels, least_words: int = LEAST_WORDS) -> DataFrame:
+def levelled(docs: DataFrame, model: Levels, tongues: Tongues | None, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, band) of each mainly English document of at least ``least_words`` words.
 
-    Null, empty and short texts and other languages have no row; without any label
-    there are no rows. One narrow pass over whole texts.
+    Null, empty and short texts and other languages have no row; without any label,
+    or without a model of English, there are no rows. One narrow pass over whole texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, tongues))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        levels, tongues = shared.value
         for b in batches:
             ids, bands = [], []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 text = raw.decode("utf-8", "replace") if raw else ""
                 words = WORD.findall(text.lower())
-                if levels.names and len(words) >= least_words and is_english(words):
+                if levels.names and tongues is not None and len(words) >= least_words and tongues.is_english(text):
                     ids.append(doc)
                     bands.append(levels.level(text))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.string())], ["doc_id", "band"])
@@ -125,8 +197,8 @@ def levelled(docs: DataFrame, model: Levels, least_words: int = LEAST_WORDS) ->
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, band) of the English prose documents of known sources."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = train(docs, table(spark, sf_dir, "reading_labels"))
     kind = F.lower(F.trim("source"))
     prose = docs.where(F.col("source").isNotNull() & (kind != "") & ~kind.isin(*OTHER_KINDS))
-    return levelled(prose, model)
+    return levelled(prose, model, train_tongues(docs))
