@@ -85,11 +85,12 @@ def test_levels_agree_with_held_out_labels(spark):
 
 
 def test_shares_of_the_mix_reach_their_targets(spark):
-    """Sources that are not short get their weight of the tokens that all of these get, within a block and a document."""
+    """Sources that are not short get their weight of the tokens that all of these get, within two blocks and their longest document."""
     from vektrail.llm import mixing
 
     rows = QUERIES["p7_report"](spark, "/root/testdata/sf0.1").collect()
+    longest = {r.source: r.m for r in QUERIES["p7_mix"](spark, "/root/testdata/sf0.1").groupBy("source").agg({"tokens": "max"}).toDF("source", "m").collect()}
     full = [r for r in rows if not r.short]
     tokens, weights = sum(r.tokens for r in full), sum(r.weight for r in full)
     grain = sum(r.own_tokens for r in rows) / mixing.BLOCKS
-    assert all(abs(r.tokens - tokens * r.weight / weights) <= 3 * grain for r in full), [(r.source, (r.tokens - tokens * r.weight / weights) / grain) for r in full]
+    assert len(full) > 3 and all(abs(r.tokens - tokens * r.weight / weights) <= 2 * grain + longest[r.source] for r in full)

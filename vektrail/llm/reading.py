@@ -52,11 +52,13 @@ def _pieces(text: str) -> list[list[str]]:
     return out
 
 
-def trigrams(words: list[str]) -> np.ndarray:
-    """Hashed character trigrams of a sentence, with the borders of its words."""
-    c = np.frombuffer(f"  {' '.join(words)} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+def trigrams(pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character trigrams of all sentences of a text, and where each sentence starts."""
+    parts = ["  " + " ".join(p) for p in pieces]
+    c = np.frombuffer("".join([*parts, "  "]).encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
     h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA6B)) ^ (c[2:] * np.uint32(0xC2B2AE35))
-    return ((h ^ (h >> np.uint32(15))) % np.uint32(SLOTS)).astype(np.int64)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return ((h ^ (h >> np.uint32(15))) % np.uint32(SLOTS)).astype(np.int64), np.cumsum(sizes) - sizes
 
 
 @dataclass(frozen=True)
@@ -64,22 +66,20 @@ class Tongues:
     """Log likelihoods of trigrams by language, English first, and the mean of a trigram in English sentences."""
 
     names: tuple[str, ...]
-    table: np.ndarray
+    table: np.ndarray  # trigram by language
     mean: float
 
-    def best(self, words: list[str]) -> int:
-        """Position of the most likely language of a sentence; -1 if it is too far even from English."""
-        got = self.table[:, trigrams(words)].mean(1)
-        top = int(got.argmax())
-        return -1 if top == 0 and got[0] < self.mean - FAR else top
+    def best(self, pieces: list[list[str]]) -> np.ndarray:
+        """Position of the most likely language of each sentence; -1 if it is too far even from English."""
+        slots, starts = trigrams(pieces)
+        got = np.add.reduceat(self.table[slots], starts, axis=0) / np.diff([*starts, len(slots)])[:, None]
+        top = got.argmax(1)
+        return np.where((top == 0) & (got[:, 0] < self.mean - FAR), -1, top)
 
-    def is_english(self, text: str) -> bool:
+    def is_english(self, pieces: list[list[str]]) -> bool:
         """More than half of the words stand in English sentences."""
-        mine = every = 0
-        for part in _pieces(text):
-            every += len(part)
-            mine += len(part) * (self.best(part) == 0)
-        return 2 * mine > every
+        words = np.array([len(p) for p in pieces])
+        return bool(len(pieces)) and 2 * words[self.best(pieces) == 0].sum() > words.sum()
 
 
 def train_tongues(docs: DataFrame, most: int = MAX_TONGUE_DOCS) -> Tongues | None:
@@ -102,13 +102,22 @@ def train_tongues(docs: DataFrame, most: int = MAX_TONGUE_DOCS) -> Tongues | Non
             seen = np.zeros((len(names), SLOTS))
             like = np.zeros(2)  # of English sentences: trigrams and the sum of their log likelihoods
             for b in batches:
+                met: list[list[np.ndarray]] = [[] for _ in names]
                 for raw, tongue in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for part in _pieces(raw.decode("utf-8", "replace")):
-                        slots = trigrams(part)
-                        at = names.index(tongue) if model is None else model.best(part)
-                        seen[at] += np.bincount(slots, minlength=SLOTS)
-                        if model is not None and at == 0:
-                            like += len(slots), model.table[0, slots].sum()
+                    pieces = _pieces(raw.decode("utf-8", "replace"))
+                    if not pieces:
+                        continue
+                    slots, starts = trigrams(pieces)
+                    if model is None:
+                        met[names.index(tongue)].append(slots)
+                        continue
+                    of = np.repeat(model.best(pieces), np.diff([*starts, len(slots)]))
+                    for k in range(len(names)):
+                        met[k].append(slots[of == k])
+                    like += (of == 0).sum(), model.table[slots[of == 0], 0].sum()
+                for k, some in enumerate(met):
+                    if some:
+                        seen[k] += np.bincount(np.concatenate(some), minlength=SLOTS)
             for i, row in enumerate([*seen, like]):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["i", "counts"])
 
@@ -119,7 +128,7 @@ def train_tongues(docs: DataFrame, most: int = MAX_TONGUE_DOCS) -> Tongues | Non
         return np.stack(out[:-1]), out[-1]
 
     def model_of(counts: np.ndarray, mean: float) -> Tongues:
-        return Tongues(names, np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * SLOTS)).astype("f4"), mean)
+        return Tongues(names, np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * SLOTS)).astype("f4").T.copy(), mean)
 
     model = model_of(counted(None)[0], -math.inf)
     counts, (n, total) = counted(model)
@@ -135,18 +144,16 @@ class Levels:
     prior: tuple[float, ...]
     unseen: tuple[float, ...]
 
-    def posterior(self, text: str) -> np.ndarray:
-        """Mean posterior of the text's sentences."""
-        total = {True: np.zeros(len(self.names)), False: np.zeros(len(self.names))}
-        for part in _pieces(text):
-            x = np.array([self.prior, *[self.words.get(w, self.unseen) for w in part]]).sum(0)
-            x = np.exp(x - x.max())
-            total[len(part) >= SHORT] += x / x.sum()
-        got = total[True] if total[True].any() else total[False]
-        return got / max(1e-300, got.sum())
+    def posterior(self, pieces: list[list[str]]) -> np.ndarray:
+        """Mean posterior of the sentences of a text."""
+        sizes = np.array([len(p) for p in pieces])
+        x = np.add.reduceat(np.array([self.words.get(w, self.unseen) for p in pieces for w in p]), np.cumsum(sizes) - sizes, axis=0) + np.array(self.prior)
+        x = np.exp(x - x.max(1, keepdims=True))
+        x /= x.sum(1, keepdims=True)
+        return x[sizes >= SHORT].mean(0) if (sizes >= SHORT).any() else x.mean(0)
 
-    def level(self, text: str) -> str:
-        return self.names[int(self.posterior(text).argmax())]
+    def level(self, pieces: list[list[str]]) -> str:
+        return self.names[int(self.posterior(pieces).argmax())]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, smoothing: float = SMOOTHING) -> Levels:
@@ -187,9 +194,12 @@ def levelled(docs: DataFrame, model: Levels, tongues: Tongues | None, least_word
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 text = raw.decode("utf-8", "replace") if raw else ""
                 words = WORD.findall(text.lower())
-                if levels.names and tongues is not None and len(words) >= least_words and tongues.is_english(text):
+                if not levels.names or tongues is None or len(words) < least_words:
+                    continue
+                pieces = _pieces(text)
+                if tongues.is_english(pieces):
                     ids.append(doc)
-                    bands.append(levels.level(text))
+                    bands.append(levels.level(pieces))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.string())], ["doc_id", "band"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, band string")
