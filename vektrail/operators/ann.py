@@ -64,6 +64,19 @@ class CellIndex:
         return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+def probes_for(index: CellIndex, rows: DataFrame, least: float = 0.9, k: int = 10, sample: int = 200, seed: int = 0) -> tuple[int, float]:
+    """(probes, recall): the fewest probed cells whose measured recall is at least ``least``; all cells are an exact search."""
+    low, high, best = 1, index.cells, (index.cells, 1.0)
+    while low <= high:
+        mid = (low + high) // 2
+        got = health(index, rows, k, mid, sample, seed).first().recall or 0.0
+        if got >= least:
+            best, high = (mid, got), mid - 1
+        else:
+            low = mid + 1
+    return best
+
+
 def health(index: CellIndex, rows: DataFrame, k: int = 10, probes: int = 4, sample: int = 200, seed: int = 0) -> DataFrame:
     """(recall, probes_sampled): share of the exact neighbours a search of the index finds, over sampled rows, self left out."""
     picked = reservoir(rows, sample, seed).select("id", vec.l2_normalize(F.col("v")).alias("v"))

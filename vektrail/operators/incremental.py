@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vektrail.session import filesystem, write_bytes
+from vektrail.session import delete_path, filesystem, numbered, publish_once
 
 
 @dataclass(frozen=True)
@@ -172,61 +172,64 @@ class IncrementalReader:
     """A durable reader: each ``run`` returns only keys that are new or changed.
 
     ``root`` holds ``out/`` and ``snap/`` (data of runs) and ``commits/`` (one JSON
-    file per run: intervals, and which data belong to it). A commit file is made
-    with create-if-absent, so of two runs started from the same state only one
-    succeeds, and data without a commit are never read.
+    file per run: intervals, and which data belong to it). A commit is one file made
+    whole or not at all, so of two runs started from the same state only one succeeds,
+    and data without a commit are never read. A run reads the images of its own keys
+    only and appends those that became newer; after ``COMPACT`` runs the images are
+    written anew. ``vacuum`` removes what the newest commit does not need.
     """
 
+    COMPACT = 16
+
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], seq: str, order: Sequence[Column], values: dict[str, Column]):
         self.spark, self.root, self.keys, self.seq, self.order, self.values = spark, root.rstrip("/"), list(keys), seq, list(order), values
 
-    def _commits(self) -> list[int]:
-        fs, path = filesystem(self.spark, f"{self.root}/commits")
-        if not fs.exists(path):
-            return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(path) if s.getPath().getName().endswith(".json"))
-
     def state(self) -> dict:
-        done = self._commits()
+        done = numbered(self.spark, f"{self.root}/commits")
         if not done:
-            return {"n": 0, "intervals": [], "snap": None, "outs": []}
+            return {"n": 0, "intervals": [], "snaps": [], "out": None}
         text = self.spark.read.text(f"{self.root}/commits/{done[-1]:08d}.json", wholetext=True).first()[0]
         return json.loads(text)
 
-    def _commit(self, state: dict) -> None:
-        fs, path = filesystem(self.spark, f"{self.root}/commits/{state['n']:08d}.json")
-        name = f".{uuid.uuid4().hex}"
-        _, temp = filesystem(self.spark, f"{self.root}/commits/{name}")
-        write_bytes(self.spark, f"{self.root}/commits/{name}", json.dumps(state).encode(), overwrite=False)
-        if fs.exists(path) or not fs.rename(temp, path):
-            fs.delete(temp, False)
-            raise RuntimeError(f"run {state['n']} was committed by another reader")
-
     def run(self, feed: DataFrame, upto: int, fail_before_commit: bool = False) -> DataFrame:
         """Process all available numbers up to ``upto``; returns the new or changed keys with their values."""
         state = self.state()
         done = Intervals.of(map(tuple, state["intervals"]))
         gap = available(feed.where(F.col(self.seq) <= upto), self.seq).minus(done)
         fresh = latest_images(images(feed.where(gap.contains(F.col(self.seq))), self.keys, self.seq, self.order, self.values), self.keys)
-        if state["snap"]:
-            old = self.spark.read.parquet(state["snap"]).withColumnRenamed("image", "_old")
+        if state["snaps"]:
+            old = latest_images(self.spark.read.parquet(*state["snaps"]), self.keys).withColumnRenamed("image", "_old")
         else:
             old = self.spark.createDataFrame([], T.StructType([*(f for f in fresh.schema if f.name != "image"), T.StructField("_old", fresh.schema["image"].dataType)]))
         on = [fresh[k].eqNullSafe(old[k]) for k in self.keys]
-        both = fresh.join(old, on, "full_outer").select(
-            *[F.coalesce(fresh[k], old[k]).alias(k) for k in self.keys],
-            F.greatest("image", "_old").alias("image"),
-            "_old",
-        )
+        both = fresh.join(old, on, "left").select(*[fresh[k] for k in self.keys], F.greatest("image", "_old").alias("image"), "_old")
+        token = uuid.uuid4().hex
+        step = f"{self.root}/step/{token}"
+        both.where(~F.col("image").eqNullSafe(F.col("_old"))).write.parquet(step)  # the join runs once
+        newer = self.spark.read.parquet(step)
         same = F.col("_old").isNotNull()
         for name in self.values:
             same = same & F.col(f"image.{name}").eqNullSafe(F.col(f"_old.{name}"))
-        token = uuid.uuid4().hex
         snap, out = f"{self.root}/snap/{token}", f"{self.root}/out/{token}"
-        both.select(*self.keys, "image").write.parquet(snap)
-        changed = both.where(~same).select(*self.keys, *[F.col(f"image.{n}").alias(n) for n in self.values])
-        changed.write.parquet(out)
+        rows = newer.select(*self.keys, "image")
+        whole = len(state["snaps"]) >= self.COMPACT
+        if whole:
+            rows = latest_images(self.spark.read.parquet(*state["snaps"]).unionByName(rows), self.keys)
+        rows.write.parquet(snap)
+        newer.where(~same).select(*self.keys, *[F.col(f"image.{n}").alias(n) for n in self.values]).write.parquet(out)
+        delete_path(self.spark, step)
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        self._commit({"n": state["n"] + 1, "intervals": [list(s) for s in done.union(gap).spans], "snap": snap, "outs": [*state["outs"], out]})
+        commit = {"n": state["n"] + 1, "intervals": [list(s) for s in done.union(gap).spans], "snaps": [snap] if whole else [*state["snaps"], snap], "out": out}
+        if not publish_once(self.spark, f"{self.root}/commits/{commit['n']:08d}.json", json.dumps(commit).encode()):
+            raise RuntimeError(f"run {commit['n']} was committed by another reader")
         return self.spark.read.parquet(out)
+
+    def vacuum(self) -> int:
+        """Remove images that the newest commit does not name, left by failed runs or compaction; not while another run is at work."""
+        keep = {s.rsplit("/", 1)[1] for s in self.state()["snaps"]}
+        fs, path = filesystem(self.spark, f"{self.root}/snap")
+        gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() not in keep] if fs.exists(path) else []
+        for p in gone:
+            fs.delete(p, True)
+        return len(gone)

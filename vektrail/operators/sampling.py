@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,29 +41,22 @@ def quotas(counts: Mapping[object, int], size: int) -> dict:
     rows. The rest is proportional, rounded down; left-overs go one each by largest
     fraction, then one each by largest room, until spent. Ties go by the order given.
     """
-    live = {c: n for c, n in counts.items() if n > 0}
-    total = sum(live.values())
-    size = min(size, total)
-    if not live or size <= 0:
-        return dict.fromkeys(counts, 0)
-    floor = max(1, size // (4 * len(live)))
-    got = {c: min(n, floor) for c, n in live.items()}
-    budget = size - sum(got.values())
-    if budget > 0:
-        exact = {c: budget * n / total for c, n in live.items()}
-        for c in live:
-            got[c] += min(math.floor(exact[c]), live[c] - got[c])
-        left = size - sum(got.values())
-        for c in sorted(live, key=lambda c: -(exact[c] - math.floor(exact[c]))):
-            if left > 0 and got[c] < live[c]:
-                got[c] += 1
-                left -= 1
-        while left > 0:
-            for c in sorted(live, key=lambda c: got[c] - live[c]):
-                if left > 0 and got[c] < live[c]:
-                    got[c] += 1
-                    left -= 1
-    return {c: got.get(c, 0) for c in counts}
+    rows = np.array([max(0, n) for n in counts.values()], dtype=np.int64)
+    want = min(size, int(rows.sum()))
+    share = np.minimum(rows, max(1, want // max(1, 4 * np.count_nonzero(rows)))) if want > 0 else np.zeros_like(rows)
+    spare = want - int(share.sum())
+    if spare > 0:
+        part, rest = np.divmod(spare * rows, rows.sum())
+        share = np.minimum(rows, share + part)
+        by_fraction = [i for i in np.argsort(-rest, kind="stable") if share[i] < rows[i]]
+        share[by_fraction[: want - int(share.sum())]] += 1
+        # levelling: whole rounds over all clusters with room, then a last one in part
+        while (spare := want - int(share.sum())) > 0:
+            room = rows - share
+            open_ = [i for i in np.argsort(-room, kind="stable") if room[i] > 0]
+            rounds = min(int(room[open_].min()), spare // len(open_))
+            share[open_ if rounds else open_[:spare]] += rounds or 1
+    return dict(zip(counts, share.tolist(), strict=True))
 
 
 def stratified(rows: DataFrame, size: int, cluster: str, seed: int = 0, key: str = "id", weight: str | None = None) -> DataFrame:
@@ -79,6 +73,42 @@ def stratified(rows: DataFrame, size: int, cluster: str, seed: int = 0, key: str
     return picked.where(F.col("_rn") <= F.col("_quota")).drop("_rn", "_quota")
 
 
+def clustered(rows: DataFrame, clusters: int | None = None, seed: int = 0, v: str = "v", key: str = "id", sample: int = 50_000) -> DataFrame:
+    """``rows`` with a column cluster: k-means on unit vectors, fitted on at most ``sample`` rows and applied to all.
+
+    ``clusters`` is by default ``cluster_count`` of the rows, and at most their number.
+    Rows with a null or empty vector have a null cluster.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from vektrail.functions import vec
+
+    good = rows.where(F.col(v).isNotNull() & (F.size(v) > 0)).select(key, array_to_vector(vec.l2_normalize(F.col(v))).alias("features"))
+    n = good.count()
+    if not n:
+        return rows.withColumn("cluster", F.lit(None).cast("int"))
+    k = max(1, min(clusters or cluster_count(n), n))
+    found = KMeans(k=max(2, k), seed=seed, maxIter=20).fit(reservoir(good, sample, seed, key)).transform(good) if k > 1 and n > 1 else good.withColumn("prediction", F.lit(0))
+    return rows.join(found.select(key, F.col("prediction").alias("cluster")), key, "left")
+
+
+def sampled(rows: DataFrame, size: int, strategy: str = "stratified", seed: int = 0, key: str = "id", v: str = "v", weight: str | None = None) -> DataFrame:
+    """A sample by the strategy of that name: ``uniform``, ``stratified`` (over k-means clusters) or ``reservoir``."""
+    if strategy == "uniform":
+        return uniform(rows, size, seed, key)
+    if strategy == "reservoir":
+        return reservoir(rows, size, seed, key)
+    if strategy == "stratified":
+        return stratified(clustered(rows, None, seed, v, key), size, "cluster", seed, key, weight)
+    raise ValueError(f"unknown strategy {strategy}: uniform, stratified and reservoir are known")
+
+
+def drawn(rows: DataFrame, size: int, query_size: int, strategy: str = "stratified", seed: int = 0, key: str = "id", v: str = "v", weight: str | None = None, least_fit: int = LEAST_ROWS) -> DataFrame:
+    """The whole draw: a sample by strategy, then its disjoint query and fit sides (column role)."""
+    return split(sampled(rows, size, strategy, seed, key, v, weight), query_size, seed, key, weight, least_fit)
+
+
 def weighted_key(seed: int, key: str, weight: str) -> Column:
     """Efraimidis-Spirakis key -ln(u) / w; the smallest keys are drawn. Weights of 0 or null come last."""
     u = (draw(seed, key) + 1) / F.lit(4294967297.0)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vektrail.session import filesystem, write_bytes
+from vektrail.session import numbered, publish_once
 
 OPEN = ("pending", "shadowed")  # fixed values: states of items that still have to be rewritten
 
@@ -63,45 +63,48 @@ def upsert(table: DataFrame, changes: DataFrame, key: str = "id", v: str = "v")
 
 
 def verify_sample(written: DataFrame, expected: DataFrame, share: float = 0.01, least: int = 5, tolerance: float = 1e-4, key: str = "id", v: str = "v") -> DataFrame:
-    """(checked, worst, ok): read-back of every n-th expected row, max(least, share) of them.
+    """(checked, worst, ok): read-back of exactly max(least, share) expected rows, those of least hash, or of all if there are fewer.
 
-    A row that is missing or of another width counts as infinitely far.
+    A row that is missing or of another width counts as infinitely far. Nothing expected is ok.
     """
     n = expected.count()
     want = min(n, max(least, round(n * share)))
-    step = max(1, n // max(1, want))
-    pick = expected.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(step))).where("_h = 0").select(key, F.col(v).alias("_e"))
+    pick = expected.select(key, F.col(v).alias("_e")).orderBy(F.xxhash64(key), key).limit(want)
     far = F.array_max(F.zip_with("_e", v, lambda a, b: F.coalesce(F.abs(a - b), F.lit(float("inf")))))
     got = pick.join(written.select(key, v), key, "left").select(F.coalesce(far, F.lit(float("inf"))).alias("d"))
     return got.agg(F.count("*").alias("checked"), F.max("d").alias("worst")).withColumn("ok", F.coalesce(F.col("worst") <= tolerance, F.lit(True)))
 
 
 class VersionedTable:
-    """A Parquet table whose current version is named by a pointer file."""
+    """A Parquet table of numbered versions; the highest number published is the current one.
+
+    A number is a small file made whole or not at all, which names the folder of its
+    rows. Readers never find the table without a version, and of two writers that
+    started from the same one only one succeeds.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _read(self) -> str | None:
-        fs, path = filesystem(self.spark, f"{self.root}/CURRENT")
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(path) else None
+    def _read(self) -> tuple[int, str | None]:
+        found = numbered(self.spark, f"{self.root}/commits")
+        if not found:
+            return 0, None
+        return found[-1], self.spark.read.text(f"{self.root}/commits/{found[-1]:08d}").first()[0]
 
     def current(self) -> DataFrame:
-        version = self._read()
+        _, version = self._read()
         if version is None:
             raise FileNotFoundError(self.root)
         return self.spark.read.parquet(f"{self.root}/{version}")
 
     def publish(self, rows: DataFrame) -> str:
-        """Write a new version, then move the pointer; readers see the old or the new one whole."""
+        """Write a new version, then publish its number; readers see the old or the new one whole."""
+        number, _ = self._read()
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{version}")
-        fs, path = filesystem(self.spark, f"{self.root}/CURRENT")
-        _, temp = filesystem(self.spark, f"{self.root}/.{version}")
-        write_bytes(self.spark, f"{self.root}/.{version}", version.encode())
-        fs.delete(path, False)
-        if not fs.rename(temp, path):
-            raise OSError(f"the pointer of {self.root} could not be moved")
+        if not publish_once(self.spark, f"{self.root}/commits/{number + 1:08d}", version.encode()):
+            raise RuntimeError(f"version {number + 1} of {self.root} was published by another writer")
         return version
 
     def roll_back(self, shadow: DataFrame, key: str = "id", v: str = "v") -> str:

@@ -111,13 +111,13 @@ def met_upgrade_gain(s, d):
 
 def met_bootstrap_mean(s, d):
     recall = metrics.recall_per_query(_ranked(s, d), _oracle(s, d).select("query_id", "doc_id"), K)
-    got = metrics.bootstrap(recall, "recall", draws=200, seed=3)
+    got = metrics.bootstrap(recall, "recall", seed=3)
     return got.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def met_bootstrap_ratio(s, d):
     both = metrics.ndcg_per_query(_ranked(s, d), grades(s, d), K).join(metrics.ndcg_per_query(knn.top_k(old(s, d).where(IS_QUERY), old(s, d), K, self_mask=True), grades(s, d), K).withColumnRenamed("ndcg", "base"), "query_id")
-    got = metrics.bootstrap(both, "ndcg", draws=200, seed=5, denominator="base")
+    got = metrics.bootstrap(both, "ndcg", seed=5, denominator="base")
     return got.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -182,9 +182,9 @@ SELECT round(avg(recall), 6) AS tail FROM c WHERE label IN (SELECT label FROM z
 ra AS (SELECT j.query_id, count(a.doc_id) / count(*) AS x FROM qrels j LEFT JOIN a ON a.query_id = j.query_id AND a.doc_id = j.doc_id GROUP BY j.query_id),
 rb AS (SELECT j.query_id, count(b.doc_id) / count(*) AS x FROM qrels j LEFT JOIN b ON b.query_id = j.query_id AND b.doc_id = j.doc_id GROUP BY j.query_id)
 SELECT round((SELECT avg(x) FROM ra) / (SELECT avg(x) FROM rb), 6) AS gain""",
-    "met_bootstrap_mean": f"{_BOTH}, {_RECALL}, {_boot('recall', 'avg(recall)', 200, 3)}",
+    "met_bootstrap_mean": f"{_BOTH}, {_RECALL}, {_boot('recall', 'avg(recall)', 2000, 3)}",
     "met_bootstrap_ratio": f"""{_BOTH}, {search_sql('b', '(SELECT * FROM old WHERE id % 5 = 0)', 'old', K, mask=True)}, {_ndcg('n', 'r', 'qrels')}, {_ndcg('e', 'b', 'qrels')},
-two AS (SELECT n.query_id, n.ndcg AS ndcg, e.ndcg AS base FROM n JOIN e ON e.query_id = n.query_id), {_boot('two', 'avg(ndcg) / nullif(avg(base), 0)', 200, 5)}""",
+two AS (SELECT n.query_id, n.ndcg AS ndcg, e.ndcg AS base FROM n JOIN e ON e.query_id = n.query_id), {_boot('two', 'avg(ndcg) / nullif(avg(base), 0)', 2000, 5)}""",
     "met_ceiling": f"""{_BOTH}, rel AS (SELECT query_id, doc_id FROM o WHERE rank < 3),
 p AS (SELECT rel.query_id AS id, unnest(range(64)) AS i, unnest(d.v) AS x FROM rel JOIN old d ON d.id = rel.doc_id),
 a AS (SELECT id, i, avg(x) AS x FROM p GROUP BY id, i), c AS (SELECT id, list(x ORDER BY i) AS v FROM a GROUP BY id),

@@ -28,7 +28,7 @@ def run_probe(index: DataFrame, fresh: DataFrame, qrels: DataFrame, kinds: Seque
     oracle = staged(groundtruth.tier0(fresh, IS_QUERY, depth), "oracle")
     truth = groundtruth.sparse(oracle)
     own = metrics.mean_of(metrics.recall_per_query(oracle, truth, k), "recall").first()[0]
-    csls_sample = staged(fresh.where(IS_FIT).limit(4_000).withColumn("v", fitted[0].udf(normalize=True)(F.col("v"))), "csls")
+    csls_sample = staged(fresh.where(IS_FIT).orderBy(F.xxhash64("id"), "id").limit(4_000).withColumn("v", fitted[0].udf(normalize=True)(F.col("v"))), "csls")
     bias = adapters.csls_bias(index, csls_sample)
     rows = []
     rankings = {}

@@ -62,7 +62,7 @@ def vec_dimension(s, d):
 
 
 def scan_projection(s, d):
-    wanted = table(s, d, "documents").where(F.col("doc_id") % 10 == 0).select(F.col("doc_id").alias("id"))
+    wanted = table(s, d, "reading_labels").select(F.col("doc_id").alias("id")).distinct()
     return knn.require_known(wanted, table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")).select("id", "lang", "n_chars")
 
 
@@ -94,7 +94,7 @@ def knn_rescored(s, d):
 
 
 def knn_matched_mean(s, d):
-    found = knn.top_k(new(s, d).where(F.col("id") % 25 == 0), old(s, d), 5)
+    found = knn.top_k(new(s, d).where(F.col("id") % 20 == 0), old(s, d), 5)
     return knn.matched_mean(found, old(s, d), DIM).select(F.col("query_id").alias("id"), "v").transform(_long)
 
 
@@ -121,7 +121,7 @@ ORACLES = {
     "vec_literal": f"WITH {SPACES} SELECT id, '[' || array_to_string(list_transform(v[1:4], lambda x: printf('%.4f', x)), ',') || ']' AS text, round(v[4], 6) AS fourth FROM old",
     "vec_blob": f"WITH {SPACES} SELECT id, len(v) AS dim, round(v[1], 6) AS first FROM old",
     "vec_dimension": f"WITH {SPACES} SELECT count(*) AS rows, min(len(v)) AS least, max(len(v)) AS most FROM old",
-    "scan_projection": "SELECT doc_id AS id, lang, n_chars FROM documents WHERE doc_id % 10 = 0",
+    "scan_projection": "SELECT doc_id AS id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM reading_labels)",
     "join_missing_ids": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "knn_exact_top10": f"WITH {SPACES}, {search_sql('r', '(SELECT * FROM old WHERE id % 5 = 0)', 'old', 10)} {_TOP}",
     "knn_self_masked": f"WITH {SPACES}, {search_sql('r', '(SELECT * FROM new WHERE id % 5 = 0)', 'new', 10, mask=True)} {_TOP}",
@@ -130,7 +130,7 @@ ORACLES = {
 c AS (SELECT id, list_transform(v, lambda x: round_even(x / list_max(list_transform(v, lambda y: abs(y))) * 127, 0) / 127 * list_max(list_transform(v, lambda y: abs(y)))) AS v FROM t),
 {search_sql('f', '(SELECT * FROM c WHERE id % 5 = 0)', 'c', 50)},
 {search_sql('r', '(SELECT * FROM old WHERE id % 5 = 0)', 'old', 10, where='(q.id, d.id) IN (SELECT (query_id, doc_id) FROM f)')} {_TOP}""",
-    "knn_matched_mean": f"""WITH {SPACES}, {search_sql('f', '(SELECT * FROM new WHERE id % 25 = 0)', 'old', 5)},
+    "knn_matched_mean": f"""WITH {SPACES}, {search_sql('f', '(SELECT * FROM new WHERE id % 20 = 0)', 'old', 5)},
 p AS (SELECT f.query_id AS id, unnest(range(64)) AS i, unnest(d.v) AS x FROM f JOIN old d ON d.id = f.doc_id)
 SELECT id, i, round(avg(x), 6) AS x FROM p GROUP BY id, i""",
     "knn_store_search": f"""WITH {SPACES}, q AS (SELECT list_transform(range(64), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * (i + 1) / 64.0) AS v),

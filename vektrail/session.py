@@ -34,14 +34,16 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint directory exists (tests on
-    one machine) a temporary folder is made.
+    Only where neither the setting nor a checkpoint directory exists and the master is
+    local a temporary folder is made; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vektrail-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -66,6 +68,37 @@ def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = T
     out.close()
 
 
+def publish_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Make a small file whole or not at all; False if it exists. The rename refuses to replace a file, so of two writers one wins."""
+    folder, name = path.rsplit("/", 1)
+    temp = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    write_bytes(spark, temp, data, overwrite=False)
+    fs, source = filesystem(spark, temp)
+    _, target = filesystem(spark, path)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri() if source.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        context.rename(source, target, options)
+        return True
+    except Exception:
+        fs.delete(source, False)
+        if fs.exists(target):
+            return False
+        raise
+
+
+def numbered(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the published files of a folder, ascending."""
+    fs, path = filesystem(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n.split(".")[0]) for n in names if n.split(".")[0].isdigit())
+
+
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
     try:
         delete_path(spark, path)
