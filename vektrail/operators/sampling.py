@@ -39,7 +39,8 @@ def quotas(counts: Mapping[object, int], size: int) -> dict:
 
     Every live cluster has a floor of max(1, size // (4 * clusters)), limited by its
     rows. The rest is proportional, rounded down; left-overs go one each by largest
-    fraction, then one each by largest room, until spent. Ties go by the order given.
+    fraction, then one each by largest room, until spent. Ties go by the order given. A size under
+    the number of live clusters gives one each.
     """
     rows = np.array([max(0, n) for n in counts.values()], dtype=np.int64)
     want = min(size, int(rows.sum()))
