@@ -31,8 +31,22 @@ def binomial_tail(k: int, n: int, p: float) -> float:
         return 0.0
     if p >= 1:
         return 1.0
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k, n + 1)))
+    if p > (k + 1) / (n + 3):
+        return 1.0 - binomial_tail(n - k + 1, n, 1 - p)
+    # Continued fraction of the incomplete beta function. It ends by itself after n - k steps; about sqrt(n) are needed until nothing changes any more.
+    c, d = 1.0, (k + 1) / (k + 1 - (n + 1) * p)
+    fraction = d
+    for m in range(1, n - k + 1):
+        t = m * (n - k + 1 - m) * p / ((k + 2 * m - 1) * (k + 2 * m))
+        c, d = 1 + t / c, 1 / (1 + t * d)
+        fraction *= c * d
+        t = -(k + m) * (n + 1 + m) * p / ((k + 2 * m) * (k + 2 * m + 1))
+        c, d = 1 + t / c, 1 / (1 + t * d)
+        fraction *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k + 1) * math.log1p(-p)
+    return min(1.0, math.exp(first) * fraction)
 
 
 def binomial_test(k: int, n: int, p: float = 0.5) -> float:
